@@ -71,3 +71,26 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int)
     hot, rest = right.filter(is_hot), right.filter(~is_hot)
     keys = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(rest, key, "left"))
+
+
+#: Rows whose id has this remainder of its CRC-32 are held out from every fit.
+HELD_OUT, FOLDS = 1, 3
+
+
+def held_out(id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, rows: int) -> DataFrame:
+    """text and label (int, the largest of equal texts) of about ``rows`` labelled rows that aren't held out.
+
+    Rows are chosen by a hash of the id, so that reruns choose the same, and the chosen labels are few enough to be
+    broadcast.  Null labels and ids are left out.
+    """
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id")))
+    n = known.count()
+    if n > rows:
+        buckets = 1 << 30
+        known = known.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(buckets)) < int(buckets * rows / n))
+    texts = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    return texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.any_value("text").alias("text"), F.max("label").alias("label")).select("text", "label")

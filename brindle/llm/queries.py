@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, decontaminate, exact_dedup, mix, warc
-from brindle.llm.common import written
+from brindle.llm import chat, decontaminate, exact_dedup, mix, toxicity, warc
+from brindle.llm.common import held_out, written
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    found = toxicity.with_score(docs, model, out="found", keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.score", toxicity.toxic("found").cast("int").alias("predicted"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(_read(spark, sf_dir, "pages"))
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,7 +70,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op4_decontaminate, op5_exact_dedup, op9_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_mix, op4_decontaminate, op5_exact_dedup, op7_toxicity, op9_warc, op10_chat)}
 
 
 def _chat_sql() -> str:

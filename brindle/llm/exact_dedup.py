@@ -55,6 +55,8 @@ class DigestIndex:
         ids = written(docs.select(F.col(id).alias("id"), digest_of(F.col(text)).alias("text_sha256")).groupBy("text_sha256", "id").agg(F.count(F.lit(1)).alias("n")), "digests")
         totals = ids.agg(F.coalesce(F.count(F.lit(1)), F.lit(0)).alias("rows")).first()
         batch = ids.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("n_ids"))
+        # written, or else the optimiser joins before it aggregates and meets every copy
+        batch = written(batch, "batch")
         fresh = batch.join(self.entries().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         # written first: the anti-join reads the table that is appended to
         fresh = written(fresh, "fresh")

@@ -60,8 +60,8 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Left join on a key that is unique in right; ``count`` is right's column with the rows a key has in left.
+def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """Left (or inner) join on a key that is unique in right; ``count`` is right's column with the rows a key has in left.
 
     Keys with over 1/HOT_SHARE of the ``total`` rows are fewer than HOT_SHARE, whatever the size of the
     data, so their rows of right are broadcast and their rows of left stay where they are.  All others go
@@ -70,7 +70,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int)
     is_hot = F.col(count) * HOT_SHARE > F.lit(total)
     hot, rest = right.filter(is_hot), right.filter(~is_hot)
     keys = F.broadcast(hot.select(key))
-    return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(rest, key, "left"))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(rest, key, how))
 
 
 #: Rows whose id has this remainder of its CRC-32 are held out from every fit.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, decontaminate, exact_dedup, mix, simhash, toxicity, warc
+from brindle.llm import chat, decontaminate, exact_dedup, mix, repeats, simhash, toxicity, warc
 from brindle.llm.common import held_out, written
 
 
@@ -19,6 +19,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_read(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_read(spark, sf_dir, "documents"), out="found", keep=["doc_id"])
+    return found.select("doc_id", "found.n_bytes", "found.n_removed", F.size("found.spans").cast("long").alias("n_spans"), F.sha2("found.kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dedup(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -75,7 +80,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_simhash, op4_decontaminate, op5_exact_dedup, op7_toxicity, op9_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_mix, op2_repeats, op3_simhash, op4_decontaminate, op5_exact_dedup, op7_toxicity, op9_warc, op10_chat)}
 
 
 def _chat_sql() -> str:

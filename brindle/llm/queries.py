@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, decontaminate, exact_dedup, mix, repeats, simhash, toxicity, warc
+from brindle.llm import chat, decontaminate, exact_dedup, licenses, mix, repeats, simhash, toxicity, warc
 from brindle.llm.common import held_out, written
 
 
@@ -47,6 +47,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(_read(spark, sf_dir, "documents"), out="found", keep=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
+    return found.select(
+        "doc_id",
+        F.array_join(names, ",").alias("licenses"),
+        F.size(names).cast("long").alias("n_licenses"),
+        F.array_min(F.transform("found", lambda m: m["first_word"])).alias("first_word"),
+        F.array_max(F.transform("found", lambda m: m["containment"])).alias("containment"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -80,7 +92,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_repeats, op3_simhash, op4_decontaminate, op5_exact_dedup, op7_toxicity, op9_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_mix, op2_repeats, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_licenses, op7_toxicity, op9_warc, op10_chat)}
 
 
 def _chat_sql() -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, decontaminate, exact_dedup, licenses, mix, repeats, simhash, toxicity, warc
+from brindle.llm import chat, decontaminate, exact_dedup, licenses, mix, quality, repeats, simhash, toxicity, warc
 from brindle.llm.common import held_out, written
 
 
@@ -66,6 +66,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.score", toxicity.toxic("found").cast("int").alias("predicted"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    found = quality.with_grade(docs, model, out="found", keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.expected_grade", "found.tail", quality.selected("found").alias("selected"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(_read(spark, sf_dir, "pages"))
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -92,7 +99,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_repeats, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_licenses, op7_toxicity, op9_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_mix, op2_repeats, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_licenses, op7_toxicity, op8_quality, op9_warc, op10_chat)}
 
 
 def _chat_sql() -> str:

@@ -72,6 +72,26 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     The null source is a source; sources without words have target 0; rows with equal ids are taken alike; a null
     id is an id; empty texts have size 0 and take nothing.  The result depends on rows alone, so reruns agree.
     """
+    rows, plan, n_sources = thresholds(docs, id, text, source, weights, most)
+    found = _with_thresholds(rows, plan, n_sources).withColumn("copies", _copies(most))
+    return found.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+
+
+def mixed_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """The mixture itself: the rows of docs, in its columns, each as often as it is taken; see mix()."""
+    _, plan, n_sources = thresholds(docs, id, text, source, weights, most)
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), hash_of(F.col(id)).alias("h"))
+    found = _with_thresholds(inner, plan, n_sources).withColumn("copies", _copies(most)).filter("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+
+
+def _copies(most: int) -> Column:
+    return (F.col("whole") + F.when((F.col("h") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)).cast("long")
+
+
+def thresholds(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """id, source, size and hash of each row; of each source the whole copies of its rows and the hash threshold for
+    one more; the number of sources."""
     rows = written(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(id)).alias("h")), "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -101,6 +121,4 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
         threshold = F.coalesce(F.shiftleft("bucket", shift), F.lit(1 << (LEVEL_BITS * LEVELS)).cast("long"))
         keep = F.col("at").isNull() & F.col("settled").isNull() & F.col("bucket").isNull() if level else F.lit(False)
         plan = written(plan.select("of", "source_size", "target", "whole", (F.col("rest") - F.coalesce(F.col("settled"), F.lit(0))).alias("rest"), F.when(keep, F.col("threshold")).otherwise(threshold).alias("threshold")), "thresholds")
-    copies = F.col("whole") + F.when((F.col("h") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)
-    found = _with_thresholds(rows, plan, n_sources)
-    return found.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return rows, plan, n_sources

@@ -1,12 +1,59 @@
-"""The corpus pipeline: documents through five operators."""
+"""The corpus pipeline: documents go through five of the corpus operators, each on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from brindle.llm import decontaminate, exact_dedup, mix, simhash, toxicity
+from brindle.llm.common import free_name, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under the toxicity threshold."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = free_name(docs.columns, "toxicity")
+    return toxicity.with_score(docs, model, out=out).filter(~toxicity.toxic(out)).drop(out)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id."""
+    return exact_dedup.kept_rows(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked the one with the smallest id."""
+    return simhash.representatives(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark passage occurs in."""
+    out = free_name(docs.columns, "decontamination")
+    found = decontaminate.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=out)
+    return found.filter(~decontaminate.contaminated(out)).drop(out)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mixture of sources takes them."""
+    return mix.mixed_rows(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("simhash", without_near_copies),
+    ("decontaminate", without_benchmark),
+    ("mix", mixed),
+]
+
+#: Toxicity is a trained model, which SQL can't express; the tests hold the stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in turn, each written and read again; the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs = written(docs, name)
+    return docs

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -37,3 +40,16 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Make tables visible to SQL as temporary views."""
     for name in names or TABLES:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only a local session may lack that setting and gets a temporary folder.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -82,7 +82,7 @@ def held_out(id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, rows: int) -> DataFrame:
-    """text and label (int, the largest of equal texts) of about ``rows`` labelled rows that aren't held out.
+    """sha (of the text), text and label (int, the largest of equal texts) of about ``rows`` labelled rows that aren't held out.
 
     Rows are chosen by a hash of the id, so that reruns choose the same, and the chosen labels are few enough to be
     broadcast.  Null labels and ids are left out.
@@ -93,4 +93,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str, text: str, l
         buckets = 1 << 30
         known = known.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(buckets)) < int(buckets * rows / n))
     texts = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "id")
-    return texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.any_value("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    return texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.any_value("text").alias("text"), F.max("label").alias("label"))

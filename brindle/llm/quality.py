@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     Over ``sample_rows`` ratings, a hash of the id chooses about so many; that bounds what the driver gathers: hashed
     features of those texts, eight bytes for each distinct word and shape of a text.  Rows held out are never read.
     """
-    rows = labelled_sample(docs, labels, id=id, text=text, label=grade, rows=sample_rows)
+    rows = labelled_sample(docs, labels, id=id, text=text, label=grade, rows=sample_rows).select("text", "label")
     found = rows.mapInArrow(_features, "buckets binary, values binary, label int").toPandas().sort_values(["label", "buckets", "values"])
     hashed = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for b, v in zip(found.buckets, found["values"], strict=True)]
     return fit_matrix(hashed, found.label.to_numpy().astype(int))

@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,9 @@ PRIOR = 2.0
 LEAST_Z = 4.5
 #: What a word without evidence scores.
 DRIFT = -0.03
+#: Of training texts that share a least hash of so many words in a row, under any of so many hashes, one counts: or
+#: else every word that near copies share would look significant.
+SHINGLE, HASHES = 5, 3
 #: Distinct words that a task remembers the score of.
 MEMORY = 500_000
 THRESHOLD = 0.7
@@ -154,14 +158,17 @@ def calibrate(odds: dict[str, float], zs: dict[str, float], best: np.ndarray, n:
     centre, width = float(x.mean()), max(float(x.std()), 1e-9)
     u = (x - centre) / width
 
+    # the rarer class weighs more, by the root of the ratio: a missed toxic text costs more than a clean one kept out
+    weight = np.where(toxic, math.sqrt(max((~toxic).sum(), 1) / max(toxic.sum(), 1)), 1.0)
+
     def loss(b: np.ndarray) -> float:
-        return float(np.logaddexp(0, (1 - 2 * y) * (b[0] * u + b[1])).sum() + 0.05 * (b @ b))
+        return float((weight * np.logaddexp(0, (1 - 2 * y) * (b[0] * u + b[1]))).sum() + 0.05 * (b @ b))
 
     beta = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(beta[0] * u + beta[1], -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((y - p) * u).sum(), (y - p).sum()]) - 0.1 * beta
+        w = weight * p * (1 - p)
+        g = np.array([(weight * (y - p) * u).sum(), (weight * (y - p)).sum()]) - 0.1 * beta
         h = np.array([[(w * u * u).sum() + 0.1, (w * u).sum()], [(w * u).sum(), w.sum() + 0.1]])
         step, now = np.linalg.solve(h, g), loss(beta)
         while abs(step).max() > 1e-9 and loss(beta + step) > now:
@@ -182,17 +189,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "other"])
 
 
+def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            words = words_of(text)
+            runs = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+            rows.append([min(xxhash.xxh64_intdigest(r, seed) for r in runs) >> 1 for seed in range(HASHES)])
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], names=["sha", "label", "least"])
+
+
+def _without_near_copies(rows: DataFrame) -> DataFrame:
+    """One row of those that share a least hash, a toxic one if there is any; only digests are shuffled."""
+    left = rows.mapInArrow(_least_hashes, "sha string, label int, least array<long>")
+    for i in range(HASHES):
+        left = left.groupBy(F.get("least", F.lit(i)).alias("m")).agg(F.max(F.struct("label", "sha", "least")).alias("r")).select("r.*")
+    # no more rows than the sample has
+    return rows.join(F.broadcast(left.select("sha")), "sha", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on labelled documents, of equal texts one, toxic if any copy is.
+    """Fit on labelled documents, of equal texts and near copies one, toxic if any copy is.
 
     Over ``sample_rows`` labels, a hash of the id chooses about so many; that bounds what is counted and what the
     driver gathers.  Only text and label are looked at.  Without rows of both labels every text gets the same score.
     """
     rows = written(labelled_sample(docs, labels, id=id, text=text, label=label, rows=sample_rows), "toxicity_sample")
+    rows = written(_without_near_copies(rows).select("text", "label"), "toxicity_rows")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic or not other:
-        return Model({}, {}, 1.0, 0.0, 1e-6, math.log((toxic + 0.5) / (other + 0.5)))
+        return Model({}, {}, 1.0, 0.0, 0.0, math.log((toxic + 0.5) / (other + 0.5)))
     counts = rows.mapInArrow(_count, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds, zs = log_odds(((r.feature, r.toxic, r.other) for r in counts.filter("toxic >= 3").toLocalIterator()), toxic, other)
     held = rows.sparkSession.sparkContext.broadcast((odds, zs))

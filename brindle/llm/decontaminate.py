@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import free_name, written
+from brindle.llm.suffix import by_doubling
 
 WINDOW = 10
 #: Bytes of text in a shard; a longer document is a shard by itself.
@@ -45,25 +46,6 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Start of every suffix, sorted by its first ``depth`` numbers, by doubling the sorted length."""
-    n = len(ids)
-    rank, length = ids.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while length < depth and n > 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - length)] = rank[length:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-        if rank[order[-1]] == n - 1:
-            break
-        length *= 2
-    return order
-
-
 class Queries:
     """The benchmark's suffixes: all positions at which a window of an item starts."""
 
@@ -156,7 +138,7 @@ def search_block(lists: list[list[bytes]], queries: Queries) -> list[dict]:
     text, origin = np.zeros(size, np.int64), np.zeros(size, np.int64)
     text[np.arange(len(at)) + breaks] = ids[at]
     origin[np.arange(len(at)) + breaks] = at
-    order = suffix_array(text, int(queries.lengths.max()))
+    order = by_doubling(text, int(queries.lengths.max()))
     # suffixes of the trailing zeros would run out of the array when compared
     order = order[order < len(at) + int(breaks[-1])]
     low, high = queries.search(text, order, False), queries.search(text, order, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh_path, lookup, partitions, written
+from brindle.llm.common import free_name, fresh_path, lookup, partitions, written
 
 #: Copies of one row are told apart in arrays of so many.
 RUN = 4096
@@ -82,9 +82,10 @@ def exact_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", buck
 
 def kept_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, whole, in their columns; of rows that repeat an id and a text, one."""
-    kept = written(exact_dedup(docs, id=id, text=text).filter("kept").select(F.col(id).alias("__id"), F.col("text_sha256").alias("__sha")), "kept")
-    own = docs.withColumn("__of", digest_of(F.col(text)))
-    rows = own.join(kept, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
-    twice = own.groupBy(F.col(id).alias("__id"), "__of").count().filter("count > 1")
+    own_sha, kept_id, kept_sha = free_name(docs.columns, "own_sha"), free_name(docs.columns, "kept_id"), free_name(docs.columns, "kept_sha")
+    kept = written(exact_dedup(docs, id=id, text=text).filter("kept").select(F.col(id).alias(kept_id), F.col("text_sha256").alias(kept_sha)), "kept")
+    own = docs.withColumn(own_sha, digest_of(F.col(text)))
+    rows = own.join(kept, F.col(id).eqNullSafe(F.col(kept_id)) & (F.col(own_sha) == F.col(kept_sha)), "left_semi")
+    twice = own.groupBy(F.col(id).alias(kept_id), own_sha).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # repeated rows are rare: only if there are any, rows are compared with one another
-    return (rows if twice.isEmpty() else rows.dropDuplicates([id, "__of"])).drop("__of")
+    return (rows if twice.isEmpty() else rows.dropDuplicates([id, own_sha])).drop(own_sha)

@@ -291,12 +291,12 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     return spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
 
 
-def _apply(keep: list[str], out: str):
+def _apply(numbers: list[str], keep: list[str], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("kept", pa.binary())])
         for batch in batches:
             rows = []
-            texts, spans = batch.column("__text"), batch.column("__spans")
+            texts, spans = batch.column("text"), batch.column("spans")
             for i in range(len(texts)):
                 raw = texts[i].as_py()
                 merged: list[list[int]] = []
@@ -310,7 +310,7 @@ def _apply(keep: list[str], out: str):
                     left.append(raw[at:s])
                     at = e
                 rows.append({"n_bytes": len(raw), "n_removed": sum(e - s for s, e in merged), "spans": [{"s": s, "e": e} for s, e in merged], "kept": b"".join([*left, raw[at:]])})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, kind)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in numbers), pa.array(rows, kind)], names=[*keep, out])
 
     return run
 
@@ -325,9 +325,11 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     are ids.  A column named as ``out`` is replaced.
     """
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
-    spans = written(repeated_spans(docs, id=id, text=text, length=length), "spans").withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
-    own = docs.select(*keep, F.col(id).alias("__of"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    own = own.withColumn("__hash", F.xxhash64("__text")).withColumn("__text", F.col("__text").cast("binary"))
-    rows = own.join(spans, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
+    spans = written(repeated_spans(docs, id=id, text=text, length=length), "spans")
+    # kept columns go under numbers, so that none can clash with what is added
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(id).alias("of"), F.xxhash64(raw).alias("hash"), raw.cast("binary").alias("text"))
+    rows = own.join(spans, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")), "left")
     kind = T._parse_datatype_string("struct<n_bytes:long,n_removed:long,spans:array<struct<s:long,e:long>>,kept:binary>")
-    return rows.select(*keep, "__text", "__spans").mapInArrow(_apply(keep, out), T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, kind)]))
+    numbers = [f"k{i}" for i in range(len(keep))]
+    return rows.select(*numbers, "text", "spans").mapInArrow(_apply(numbers, keep, out), T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, kind)]))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import lookup, partitions, written
+from brindle.llm.common import free_name, lookup, partitions, written
 
 SHINGLE = 4
 THRESHOLD = 4
@@ -289,5 +289,6 @@ def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shing
 
 def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their component: those with its smallest id.  Null ids all stay."""
-    found = near_dedup(docs, id=id, text=text).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__id")).distinct()
-    return docs.join(found, F.col(id) == F.col("__id"), "left_anti")
+    gone = free_name(docs.columns, "gone")
+    found = near_dedup(docs, id=id, text=text).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias(gone)).distinct()
+    return docs.join(found, F.col(id) == F.col(gone), "left_anti")

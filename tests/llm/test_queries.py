@@ -1,0 +1,60 @@
+"""The corpus queries and the pipeline on the smallest tables: against DuckDB, held-out labels, and brute force."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from brindle.llm import common, queries
+
+TABLES = "documents pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.queries()[name](spark, data)
+    found = con.sql(queries.oracle_sql()[name])
+    order = [found.columns.index(c) for c in df.columns]
+    assert sorted(df.columns) == sorted(found.columns)
+    key = lambda r: [str(x) for x in r]
+    got = sorted((tuple(r) for r in df.collect()), key=key)
+    want = sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b) if any(isinstance(x, float) for x in a) and None not in a else a == b
+
+
+@pytest.mark.parametrize(("name", "flag", "label"), [("op7_toxicity", "predicted", "toxic"), ("op8_quality", "selected", "quality")])
+def test_held_out_accuracy(spark, name, flag, label):
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", label)
+    rows = queries.queries()[name](spark, data).join(labels, "doc_id").filter("held_out").select(F.col(flag).cast("int").alias("got"), F.col(label).alias("want")).collect()
+    assert len(rows) > 100 and sum(r.got == r.want for r in rows) / len(rows) >= 0.93
+
+
+def test_folds_follow_crc32(spark):
+    import zlib
+
+    rows = spark.range(-5, 200).select("id", common.held_out(F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    now, sizes = docs, [docs.count()]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = common.written(stage(spark, now, data), f"stage{n}")
+        sizes.append(now.count())
+        assert now.columns == docs.columns
+        if n == 1:
+            assert now.count() == now.select("text").distinct().count()
+    assert all(a >= b for a, b in zip(sizes[:4], sizes[1:5], strict=True)) and sizes[4] > sizes[0] / 2
+    run = corpus_pipeline.run(spark, data)
+    assert run.count() == sizes[5]
+    kept = {r.doc_id for r in run.select("doc_id").distinct().collect()}
+    hit = {r.doc_id for r in queries.queries()["op4_decontaminate"](spark, data).filter("contaminated").collect()}
+    toxic = {r.doc_id for r in queries.queries()["op7_toxicity"](spark, data).filter("predicted = 1").collect()}
+    assert not kept & hit and not kept & toxic

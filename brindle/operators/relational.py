@@ -29,8 +29,7 @@ def desc(x: Key) -> Column:
 def distinct_on(df: DataFrame, keys: Sequence[Key], order: Sequence[Column]) -> DataFrame:
     """DISTINCT ON: the first row of each group in an order; null keys form a group.
 
-    With one row a group needed, the row travels as the least of its order, pre-aggregated before the shuffle, if the
-    order is ascending throughout; else the rows of a group are ranked.
+    The filter on the rank lets the planner keep one row a group in each task before the shuffle.
     """
     w = Window.partitionBy(*map(_col, keys)).orderBy(*order)
     return df.withColumn("__place", F.row_number().over(w)).filter("__place = 1").drop("__place")
@@ -39,40 +38,38 @@ def distinct_on(df: DataFrame, keys: Sequence[Key], order: Sequence[Column]) ->
 def with_ties(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """FETCH FIRST n ROWS WITH TIES.
 
-    The n-th row's key comes from a top-n, which sends n rows a task; the rest is a filter by rank over the few rows
-    that aren't behind it, so no window runs over the whole table.
+    The keys of the first n rows come from a top-n, which sends n rows a task; rows with one of those keys are the
+    answer, found by a semi join with at most n keys, so no window runs over the whole table.
     """
     if n <= 0:
         return df.limit(0)
-    keyed = df.withColumns({f"__k{i}": _bare(o) for i, o in enumerate(order)})
-    sort = [_like(o, F.col(f"__k{i}")) for i, o in enumerate(order)]
-    names = [f"__k{i}" for i in range(len(order))]
-    top = keyed.orderBy(*sort).limit(n).select(*names).distinct()
-    return keyed.join(F.broadcast(top.withColumnsRenamed({k: f"{k}r" for k in names})), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}r")) for k in names)), "left_semi").drop(*names)
+    names = [free_name(df.columns, f"key{i}") for i in range(len(order))]
+    bare, sorts = zip(*(_taken_apart(o) for o in order), strict=True)
+    keyed = df.withColumns(dict(zip(names, bare, strict=True)))
+    top = keyed.orderBy(*(sort(F.col(k)) for sort, k in zip(sorts, names, strict=True))).limit(n).select(*names).distinct()
+    top = F.broadcast(top.withColumnsRenamed({k: f"{k}_top" for k in names}))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_top")) for k in names))
+    return keyed.join(top, same, "left_semi").drop(*names)
 
 
-def _bare(order: Column) -> Column:
-    """The expression of a sort order."""
-    return F.col(_expression(order)) if _is_name(_expression(order)) else F.expr(_expression(order))
+_SORTS = {"ASC NULLS FIRST": Column.asc_nulls_first, "ASC NULLS LAST": Column.asc_nulls_last, "DESC NULLS FIRST": Column.desc_nulls_first, "DESC NULLS LAST": Column.desc_nulls_last}
 
 
-def _expression(order: Column) -> str:
-    text = order._jc.toString() if hasattr(order, "_jc") else str(order)
-    for end in (" ASC NULLS FIRST", " ASC NULLS LAST", " DESC NULLS FIRST", " DESC NULLS LAST"):
-        text = text.removesuffix(end)
-    return text
+def _taken_apart(order: Column):
+    """The expression of a sort order, and the function that makes the order of it."""
+    text = order._jc.toString()
+    for end, f in _SORTS.items():
+        if text.endswith(" " + end):
+            return F.expr(text.removesuffix(" " + end)), f
+    return order, Column.asc_nulls_last
 
 
-def _is_name(text: str) -> bool:
-    return text.replace("_", "").replace(".", "").isalnum()
-
-
-def _like(order: Column, c: Column) -> Column:
-    text = order._jc.toString() if hasattr(order, "_jc") else str(order)
-    for end, f in ((" ASC NULLS FIRST", c.asc_nulls_first), (" ASC NULLS LAST", c.asc_nulls_last), (" DESC NULLS FIRST", c.desc_nulls_first), (" DESC NULLS LAST", c.desc_nulls_last)):
-        if text.endswith(end):
-            return f()
-    return c.asc_nulls_last()
+def free_name(taken: Sequence[str], wish: str) -> str:
+    """A column name that no column has yet."""
+    names = {x.lower() for x in taken}
+    while wish.lower() in names:
+        wish += "_"
+    return wish
 
 
 def limit_offset(df: DataFrame, order: Sequence[Column], n: int | None = None, offset: int = 0) -> DataFrame:

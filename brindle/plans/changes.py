@@ -245,3 +245,97 @@ def stream_aggregate(spark, d):
     job = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+# Functions that users define
+
+
+@query("SELECT p_partkey, p_size * 2 + 1 AS odd FROM part")
+def sql_function(spark, d):
+    from brindle.functions import user
+
+    user.create_function(spark, "odd_of", "n INT", "INT", "n * 2 + 1")
+    return load(spark, d, "part").select("p_partkey", F.expr("odd_of(p_size)").alias("odd"))
+
+
+@query("SELECT n_nationkey, upper(n_name) || '!' AS loud FROM nation")
+def scalar_function(spark, d):
+    from brindle.functions import user
+
+    loud = user.create_scalar(spark, "loud", lambda s: s.str.upper() + "!", "string")
+    return load(spark, d, "nation").select("n_nationkey", loud("n_name").alias("loud"))
+
+
+@query("SELECT n_regionkey, sum(n_nationkey * n_nationkey)::BIGINT AS squares, string_agg(n_name, '>' ORDER BY n_name) AS chain FROM nation GROUP BY n_regionkey")
+def user_aggregate(spark, d):
+    from brindle.functions import user
+
+    squares = user.create_aggregate(lambda s, x: s + x.cast("long") * x, F.lit(0).cast("long"))
+    chain = user.create_aggregate(lambda s, x: F.when(s == "", x).otherwise(F.concat(s, F.lit(">"), x)), F.lit(""))
+    return load(spark, d, "nation").groupBy("n_regionkey").agg(squares("n_nationkey").alias("squares"), chain("n_name", "n_name").alias("chain"))
+
+
+@query("SELECT o_orderpriority, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderpriority")
+def combining_aggregate(spark, d):
+    from brindle.functions import user
+
+    return user.create_combining_aggregate(
+        load(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", lambda s, x: [min(s[0], x), max(s[1], x)], lambda a, b: [min(a[0], b[0]), max(a[1], b[1])], [float("inf"), float("-inf")], "array<double>", "spread"
+    ).select("o_orderpriority", (F.col("spread")[1] - F.col("spread")[0]).alias("spread"))
+
+
+@query("SELECT n_nationkey, unnest(generate_series(0, n_nationkey % 3)) AS k FROM nation")
+def table_function(spark, d):
+    from brindle.functions import user
+
+    user.create_table_function(spark, "counted", lambda n: ((i,) for i in range(n % 3 + 1)), "k: int")
+    load(spark, d, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_nationkey, k FROM nation, LATERAL counted(n_nationkey)")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def procedure_call(spark, d):
+    from brindle.functions import user
+
+    load(spark, d, "customer").createOrReplaceTempView("customer")
+    procedures = user.Procedures(spark)
+    procedures.create("rich", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > :least GROUP BY 1")
+    return procedures.call("rich", least=5000)
+
+
+# Storage
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000")
+def partitioned_table(spark, d):
+    path = scratch(spark, "partitioned")
+    load(spark, d, "orders").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    # the filter on the partition column picks folders, the other one goes to the scan
+    return spark.read.parquet(path).filter("o_orderstatus = 'P' AND o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def inherited_tables(spark, d):
+    from brindle.operators.relational import inherited_scan
+
+    parent = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    child = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal")
+    return inherited_scan(parent, child)
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, json_keys(props)[1]) = '1' OR event_id % 100 = 0")
+def json_token_index(spark, d):
+    """Containment by a table of tokens: rows whose document has a path and value, found by a semi join."""
+    e = load(spark, d, "events").select("event_id", "props")
+    first = F.get(F.json_object_keys("props"), F.lit(0))
+    tokens = e.select("event_id", F.concat_ws("=", F.lit("first"), F.try_element_at(F.from_json("props", "map<string,string>"), first)).alias("token"))
+    wanted = spark.range(1).select(F.lit("first=1").alias("token"))
+    hits = tokens.join(F.broadcast(wanted), "token", "left_semi").select("event_id")
+    return hits.unionByName(e.filter("event_id % 100 = 0").select("event_id")).distinct()
+
+
+@query("SELECT c_custkey, c_acctbal::DECIMAL(18,2) AS c_acctbal FROM customer WHERE c_nationkey = 4")
+def create_table_as(spark, d):
+    path = scratch(spark, "ctas")
+    load(spark, d, "customer").filter("c_nationkey = 4").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal")).write.parquet(path)
+    return spark.read.parquet(path)

@@ -199,3 +199,26 @@ def test_subscription(spark, tmp_path):
 def test_catalog(spark):
     spark.createDataFrame([(1, ["a"])], "id int, tags array<string>").createOrReplaceTempView("catalogued")
     assert [(r.column_name, r.data_type) for r in catalog.columns(spark, "catalogued").collect()] == [("id", "integer"), ("tags", "ARRAY")]
+
+
+def test_dialect(spark, tmp_path):
+    from brindle.plans.dialect import PgSession
+
+    store = VersionStore(spark, scratch(spark, "dialect"))
+    store.put("t", spark.createDataFrame([(1, "a")], "id int, x string"), ["id"])
+    store.commit("first")
+    store.put("t", spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, x string"))
+    store.commit("second")
+    pg = PgSession(spark, store)
+    assert pg.sql("SELECT count(*) FROM t AS OF 'HEAD~1'").first()[0] == 1
+    assert [r.id for r in pg.sql("SELECT id FROM t ORDER BY x DESC").collect()] == [2, 3, 1]
+    assert [r.id for r in pg.sql("SELECT id FROM t WHERE id > $1 AND x = $2 FOR UPDATE", 1, "c").collect()] == [3]
+    assert tuple(pg.sql("SELECT 7/2, 2^3, (ARRAY[1,2,3])[2], (ARRAY[1,2,3])[2:3], chr(8364), '{\"a\":{\"b\":5}}'::jsonb #>> '{a,b}'").first()) == (3, 8.0, 2, [2, 3], "€", "5")
+    assert tuple(pg.sql("SELECT 'abc' SIMILAR TO 'a(b|x)%', 'abc' NOT SIMILAR TO 'a', ARRAY[1,2] && ARRAY[2], ARRAY[1,2] @> ARRAY[3]").first()) == (True, True, True, False)
+    rows = pg.sql("SELECT id, x FROM (VALUES (1, 5), (2, 5), (3, 4)) v(id, x) ORDER BY x DESC FETCH FIRST 1 ROW WITH TIES").collect()
+    assert sorted(r.id for r in rows) == [1, 2]
+    assert pg.sql("SELECT to_char(timestamp '2024-03-05', 'DD Mon YYYY'), rank(4) WITHIN GROUP (ORDER BY id) FROM t").first()[0] == "05 Mar 2024"
+    with pytest.raises(ValueError):
+        pg.translate("SELECT * FROM t TABLESAMPLE SYSTEM (10)")
+    with pytest.raises(ValueError):
+        pg.translate("SELECT sum(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t")

@@ -41,9 +41,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     costs a read rather than the work before."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables written so far and not discarded.
+_MADE: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove the tables that operators have written; results that still read them can't be read again.
+
+    Call it when what the operators returned has been written elsewhere; a table just written is named by ``keep``.
+    """
+    held = set() if keep is None else {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
+    for path in list(_MADE):
+        if not any(h.endswith(path.rsplit("/", 1)[-1]) for h in held):
+            remove(spark, path)
+            _MADE.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_name, fresh_path, lookup, partitions, written
+from brindle.llm.common import free_name, fresh_path, lookup, partitions, remove, written
 
 #: Copies of one row are told apart in arrays of so many.
 RUN = 4096
@@ -38,6 +38,11 @@ class DigestIndex:
         dealt = rows.repartition(self.buckets, "text_sha256")
         dealt.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").option("path", self.path).saveAsTable(self.table)
 
+    def drop(self) -> None:
+        """Remove the table and its files; decisions made so far don't read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -77,7 +82,9 @@ def exact_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", buck
     spark = docs.sparkSession
     path = fresh_path(spark, "digest_index")
     index = DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path, buckets or partitions(spark))
-    return index.add(docs, id=id, text=text)[0]
+    decisions = index.add(docs, id=id, text=text)[0]
+    index.drop()
+    return decisions
 
 
 def kept_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:

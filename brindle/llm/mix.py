@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import HOT_SHARE, WORD, written
+from brindle.llm.common import WORD, lookup, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -54,13 +54,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _with_thresholds(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+def _key(source: Column) -> Column:
+    """A source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def _with_thresholds(rows: DataFrame, plan: DataFrame, n_sources: int, n_rows: int) -> DataFrame:
+    """rows with what plan has for their key.  Sources that hold much of the rows are broadcast in any case."""
     if n_sources <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan.of))
-    # a source may hold a third of all rows: its rows are dealt to HOT_SHARE places, and its threshold to each
-    salted = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(HOT_SHARE)))
-    each = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SHARE - 1))).cast("long"))
-    return salted.join(each, salted.source.eqNullSafe(each.of) & (salted.salt == each.salt)).drop("salt")
+        return rows.join(F.broadcast(plan), "key")
+    return lookup(rows, plan, "key", "rows", n_rows, "inner")
 
 
 def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -72,16 +75,16 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     The null source is a source; sources without words have target 0; rows with equal ids are taken alike; a null
     id is an id; empty texts have size 0 and take nothing.  The result depends on rows alone, so reruns agree.
     """
-    rows, plan, n_sources = thresholds(docs, id, text, source, weights, most)
-    found = _with_thresholds(rows, plan, n_sources).withColumn("copies", _copies(most))
+    rows, plan, n_sources, n_rows = thresholds(docs, id, text, source, weights, most)
+    found = _with_thresholds(rows, plan, n_sources, n_rows).withColumn("copies", _copies(most))
     return found.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 def mixed_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """The mixture itself: the rows of docs, in its columns, each as often as it is taken; see mix()."""
-    _, plan, n_sources = thresholds(docs, id, text, source, weights, most)
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), hash_of(F.col(id)).alias("h"))
-    found = _with_thresholds(inner, plan, n_sources).withColumn("copies", _copies(most)).filter("copies > 0")
+    _, plan, n_sources, n_rows = thresholds(docs, id, text, source, weights, most)
+    inner = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(source)).alias("key"), hash_of(F.col(id)).alias("h"))
+    found = _with_thresholds(inner, plan, n_sources, n_rows).withColumn("copies", _copies(most)).filter("copies > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
@@ -89,36 +92,38 @@ def _copies(most: int) -> Column:
     return (F.col("whole") + F.when((F.col("h") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)).cast("long")
 
 
-def thresholds(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int]:
-    """id, source, size and hash of each row; of each source the whole copies of its rows and the hash threshold for
-    one more; the number of sources."""
-    rows = written(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(id)).alias("h")), "sizes")
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+def thresholds(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """id, key (the source), size and hash of each row; of each key the whole copies of its rows and the hash threshold
+    for one more; the numbers of sources and of rows."""
+    rows = written(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(id)).alias("h")), "sizes")
+    sums = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
+    plan = targets(sums.select("source", "source_size"), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", F.least(whole, F.lit(most).cast("long")))
-    plan = plan.select(F.col("source").alias("of"), "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("threshold"))
-    plan = written(plan, "targets")
-    n_sources = plan.count()
+    plan = plan.select(_key(F.col("source")).alias("key"), "source_size", "target", F.least(whole, F.lit(most).cast("long")).alias("whole"))
+    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("threshold", F.lit(0).cast("long"))
+    plan = written(plan.join(sums.select(_key(F.col("source")).alias("key"), "rows"), "key"), "targets")
+    totals = sums.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    rows = rows.select("id", _key(F.col("source")).alias("key"), "size", "h")
     for level in range(LEVELS):
         # a bucket of this level: the hash without its finer bits; threshold holds the bits found so far
         shift = LEVEL_BITS * (LEVELS - 1 - level)
-        bucket = F.shiftright("h", shift)
-        inside = _with_thresholds(rows, plan, n_sources)
+        inside = rows
         if level:
+            inside = _with_thresholds(rows, plan.select("key", "threshold", "rows"), totals.sources, totals.rows)
             inside = inside.filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("threshold", shift + LEVEL_BITS))
-        histogram = inside.groupBy("of", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("of").orderBy("bucket"))
+        histogram = inside.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        # a histogram has at most 4096 rows a source
+        upto = F.sum("words").over(Window.partitionBy("key").orderBy("bucket"))
+        both = histogram.withColumn("upto", upto).join(plan.select("key", "rest"), "key")
         # the boundary is the first bucket that doesn't fit whole; what comes before it is settled
-        over = histogram.withColumn("upto", upto).withColumnRenamed("of", "source")
-        over = over.join(F.broadcast(plan.select("of", "rest")) if n_sources <= BROADCAST_SOURCES else plan.select("of", "rest"), F.col("source").eqNullSafe(F.col("of")))
-        bound = over.groupBy("of").agg(
+        bound = both.groupBy("key").agg(
             F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("bucket"),
             F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("settled"),
+            F.lit(True).alias("seen"),
         )
-        bound = bound.withColumnRenamed("of", "at")
-        plan = plan.join(bound, F.col("of").eqNullSafe(F.col("at")), "left")
-        # no bucket overflows: all that is left of the source is taken
-        threshold = F.coalesce(F.shiftleft("bucket", shift), F.lit(1 << (LEVEL_BITS * LEVELS)).cast("long"))
-        keep = F.col("at").isNull() & F.col("settled").isNull() & F.col("bucket").isNull() if level else F.lit(False)
-        plan = written(plan.select("of", "source_size", "target", "whole", (F.col("rest") - F.coalesce(F.col("settled"), F.lit(0))).alias("rest"), F.when(keep, F.col("threshold")).otherwise(threshold).alias("threshold")), "thresholds")
-    return rows, plan, n_sources
+        # if no bucket overflows, all of the source is taken; a source that isn't refined any more keeps its threshold
+        found = F.coalesce(F.shiftleft("bucket", shift), F.lit(1 << (LEVEL_BITS * LEVELS)).cast("long"))
+        threshold = F.when(F.col("seen"), found).otherwise(F.col("threshold"))
+        plan = plan.join(bound, "key", "left")
+        plan = written(plan.select("key", "rows", "source_size", "target", "whole", (F.col("rest") - F.coalesce("settled", F.lit(0))).alias("rest"), threshold.alias("threshold")), "thresholds")
+    return rows, plan, totals.sources, totals.rows

@@ -279,8 +279,9 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
         places = wanted.select("key", "dg", "n", "d", "ref.*").groupBy("id", "th").agg(F.collect_list(F.struct("key", "dg", "n", "d", "p", "nw", "a")).alias("all"))
         places = places.withColumnRenamed("id", "of").withColumnRenamed("th", "hash")
         rows = own.join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("hash")))
-        each = rows.select("text", F.explode("all").alias("x"))
-        return each.select("x.key", "x.dg", "x.n", "x.d", "x.a", F.substring("text", F.col("x.p") + 1, F.col("x.nw") + length - 1).alias("seg"))
+        # cut within the row, so that no segment drags the whole text along
+        segment = lambda x: F.struct(x["key"], x["dg"], x["n"], x["d"], x["a"], F.substring(F.col("text"), x["p"] + 1, x["nw"] + length - 1).alias("seg"))
+        return rows.select(F.explode(F.transform("all", segment)).alias("x")).select("x.*")
 
     found = _merged(_settle(units, fetch, length, STEPS, 0), "repeated")
     unit = F.concat(F.hex("key"), F.hex("dg")).alias("unit")

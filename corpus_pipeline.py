@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontaminate, exact_dedup, mix, simhash, toxicity
-from brindle.llm.common import free_name, written
+from brindle.llm.common import discard, free_name, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES):
             docs = written(docs, name)
+            # what the stage wrote on its way, and what the stage before returned, isn't read again
+            discard(spark, keep=docs)
     return docs

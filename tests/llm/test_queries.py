@@ -58,3 +58,20 @@ def test_pipeline(spark, data):
     hit = {r.doc_id for r in queries.queries()["op4_decontaminate"](spark, data).filter("contaminated").collect()}
     toxic = {r.doc_id for r in queries.queries()["op7_toxicity"](spark, data).filter("predicted = 1").collect()}
     assert not kept & hit and not kept & toxic
+
+
+NAMES = ("id", "key", "row", "size", "h", "copies", "toxicity", "decontamination", "own_sha", "gone", "kept_id", "component_id")
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_on_odd_tables(spark, data, kind):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*"doc_id text lang source n_chars".split()).limit(60)
+    odd = [(None, None, None, None, None), (900001, None, "en", None, 0), (900002, "", "en", "x", 0), (900003, "same words here", "en", "x", 1), (900003, "same words here", "en", "x", 1), (900004, "word " * 30000, None, "x", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({n: F.lit(3) for n in NAMES})
+    now = docs.limit(0) if kind == "empty" else docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = common.written(stage(spark, now, data), f"odd{n}")
+        assert now.columns == docs.columns
+        if n == 1 and kind == "odd":
+            assert now.filter("doc_id = 900003").count() == 1
+    assert (now.count() == 0) == (kind == "empty")

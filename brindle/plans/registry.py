@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from brindle.plans import changes, core, details, scalars, texts  # noqa: F401
+    from brindle.plans import changes, core, details, micro, scalars, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

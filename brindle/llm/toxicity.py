@@ -38,16 +38,18 @@ SHINGLE, HASHES = 5, 3
 #: Distinct words that a task remembers the score of.
 MEMORY = 500_000
 THRESHOLD = 0.7
+#: Passages that chance makes more often than so many times in a text aren't significant.
+MOST_CHANCE = 0.05
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 SCORE = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
-        T.StructField("segments", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("evidence", T.DoubleType())]))),
+        T.StructField("segments", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("evidence", T.DoubleType()), T.StructField("e_value", T.DoubleType())]))),
     ]
 )
-_SCORE_ARROW = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("evidence", pa.float64())])))])
+_SCORE_ARROW = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("evidence", pa.float64()), ("e_value", pa.float64())])))])
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -78,6 +80,10 @@ class Model:
         """Log-odds scale of how unlikely the best segment of a clean text is to score so high."""
         return self.decay * segment - self.size - math.log(max(n_words, 1))
 
+    def e_value(self, segment: float, n_words: int) -> float:
+        """How many segments that score so high a clean text of that length is expected to have by chance."""
+        return math.exp(min(60.0, -self.surprise(segment, n_words)))
+
     def probability(self, segments: list[tuple[int, int, float]], n_words: int) -> float:
         best = max((s for _, _, s in segments), default=0.0)
         x = self.slope * self.surprise(best, n_words) + self.offset
@@ -236,8 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
 
 
 def with_score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns ``keep``, by default all) with a struct ``out``: score and segments, the maximal scoring
-    word runs with their evidence in log-odds, in the order of the text.
+    """docs (its columns ``keep``, by default all) with a struct ``out``: score and segments, the significant
+    among the maximal scoring word runs, with evidence in log-odds and E-value, in the order of the text.
 
     Null and empty texts score as a text without evidence.  A column named as ``out`` is replaced.
     """
@@ -253,7 +259,8 @@ def with_score(docs: DataFrame, model: Model, *, text: str = "text", out: str =
             for i in range(len(texts)):
                 words = words_of(texts[i].as_py())
                 segments = scored(words, memory)
-                found.append({"score": own.probability(segments, len(words)), "segments": [{"first_word": a, "n_words": n, "evidence": s} for a, n, s in segments]})
+                passages = [{"first_word": a, "n_words": n, "evidence": s, "e_value": e} for a, n, s in segments if (e := own.e_value(s, len(words))) <= MOST_CHANCE]
+                found.append({"score": own.probability(segments, len(words)), "segments": passages})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, _SCORE_ARROW)], names=[*keep, out])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, SCORE)])

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.base import col, val
 
@@ -333,3 +335,27 @@ def to_timestamp(x, pattern: str | None = None) -> Column:
     if pattern is None:
         return F.timestamp_micros(F.round(col(x).cast("double") * 1_000_000).cast("long"))
     return F.to_timestamp(col(x), F.lit(_read_pattern(pattern)))
+
+
+def current_timestamp(precision: int = 6) -> Column:
+    """The statement's moment, cut to some digits of a second."""
+    step = 10 ** (6 - precision)
+    return F.timestamp_micros(F.floor(F.unix_micros(F.current_timestamp()) / step) * step)
+
+
+def localtime(precision: int = 6) -> Column:
+    return F.date_format(current_timestamp(precision), "HH:mm:ss" + ("." + "S" * precision if precision else ""))
+
+
+@F.pandas_udf(T.TimestampType())
+def _clock(x: pd.Series) -> pd.Series:
+    return pd.Series([pd.Timestamp.now(tz="UTC") for _ in range(len(x))])
+
+
+def clock_timestamp() -> Column:
+    """The moment at which a row is made, which moves on within a statement."""
+    return _clock.asNondeterministic()(F.rand())
+
+
+def timeofday() -> Column:
+    return F.date_format(F.current_timestamp(), "EEE MMM dd HH:mm:ss.SSSSSS yyyy z")

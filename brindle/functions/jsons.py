@@ -6,6 +6,7 @@ Reading goes through the engine's variant type; changes, containment and paths t
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 from typing import Any
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from brindle.functions.base import col, val
 from brindle.functions.jsonpath import evaluate, parse_path
+from brindle.functions.textsearch import STOP_WORDS
 
 
 def loads(text: str) -> Any:
@@ -412,28 +414,51 @@ def each_text(j) -> Column:
     return _pairs(j, True)
 
 
-def words(j, kinds: tuple[str, ...] = ("all",)) -> Column:
-    """Words of a document's keys and values in order, for text search."""
-    import re
-
+def _words(x: Any, kinds: tuple[str, ...]) -> list[str]:
     wants = lambda k: "all" in kinds or k in kinds
 
-    def visit(x):
-        if isinstance(x, dict):
-            for k, v in x.items():
+    def visit(y):
+        if isinstance(y, dict):
+            for k, v in y.items():
                 if wants("key"):
                     yield k
                 yield from visit(v)
-        elif isinstance(x, list):
-            for v in x:
+        elif isinstance(y, list):
+            for v in y:
                 yield from visit(v)
-        elif isinstance(x, bool):
+        elif isinstance(y, bool):
             if wants("boolean"):
-                yield "true" if x else "false"
-        elif isinstance(x, Decimal):
+                yield "true" if y else "false"
+        elif isinstance(y, Decimal):
             if wants("numeric"):
-                yield f"{x:f}"
-        elif isinstance(x, str) and wants("string"):
-            yield x
+                yield f"{y:f}"
+        elif isinstance(y, str) and wants("string"):
+            yield y
+
+    return [w for t in visit(x) for w in re.findall("[a-z0-9_]+", t.lower())]
+
+
+def words(j, kinds: tuple[str, ...] = ("all",)) -> Column:
+    """Words of a document's keys and values in order."""
+    return _udf(T.ArrayType(T.StringType()), lambda x: _words(x, kinds))(j)
+
+
+def to_tsvector(j, kinds: tuple[str, ...] = ("all",), config: str = "english") -> Column:
+    """A text search vector of a document's keys and values."""
+    stop = STOP_WORDS if config.lower() == "english" else []
+
+    def vector(x: Any) -> str:
+        places: dict[str, list[str]] = {}
+        for i, w in enumerate(_words(x, kinds), 1):
+            places.setdefault(w, []).append(str(i))
+        return " ".join(f"'{w}':{','.join(p)}" for w, p in sorted(places.items()) if w not in stop)
+
+    return _udf(T.StringType(), vector)(j)
+
+
+remove_path = delete_path
+
 
-    return _udf(T.ArrayType(T.StringType()), lambda x: [w for t in visit(x) for w in re.findall("[a-z0-9_]+", t.lower())])(j)
+def serialize(j) -> Column:
+    """JSON as its text."""
+    return col(j).cast("string")

@@ -137,3 +137,15 @@ def group_key(h):
 
 def populate_record(h, schema: str):
     return F.from_json(F.to_json(col(h)), schema)
+
+
+def hstore_to_jsonb(h):
+    from brindle.functions.jsons import jsonb
+
+    return jsonb(hstore_to_json(h))
+
+
+def hstore_to_jsonb_loose(h):
+    from brindle.functions.jsons import jsonb
+
+    return jsonb(hstore_to_json_loose(h))

@@ -334,3 +334,19 @@ def version() -> Column:
 
 
 current_user, session_user, current_database, current_schema, current_catalog = F.current_user, F.session_user, F.current_database, F.current_schema, F.current_catalog
+
+
+xml = xmlparse
+bitand = bit_and
+point_pl = point_add
+system_user = F.user
+bool_and, bool_or = F.bool_and, F.bool_or
+
+
+def record_eq(a, b) -> Column:
+    """Records are equal if all fields are; nulls equal each other."""
+    return col(a).eqNullSafe(col(b))
+
+
+def text_eq(a, b) -> Column:
+    return col(a) == val(b)

@@ -130,3 +130,35 @@ def vector_aggregate(df: DataFrame, keys: list[str], vector: str, how: str, out:
 def nearest(df: DataFrame, vector: str, query: list[float], k: int, distance=l2_distance, out: str = "distance") -> DataFrame:
     """The k rows nearest to one vector: a top-k over a scan, so only k rows a task are sorted and sent."""
     return df.withColumn(out, distance(F.col(vector), query)).orderBy(F.col(out).asc_nulls_last()).limit(k)
+
+
+def array_to_vector(a, dims: int | None = None):
+    """An array as a vector; another number of dimensions, a null or something infinite raises."""
+    a = _doubles(a)
+    bad = F.exists(a, lambda x: x.isNull() | F.isnan(x) | F.abs(x).eqNullSafe(float("inf"))) | (F.size(a) == 0)
+    if dims is not None:
+        bad = bad | (F.size(a) != dims)
+    return fail_if(bad, "not a vector of that many dimensions", a.cast("array<float>"))
+
+
+def vector_to_float4(a):
+    return col(a).cast("array<float>")
+
+
+def vector_accum(state, v):
+    """A state of count and sums, with one vector more."""
+    state, v = col(state), _doubles(v)
+    first = F.concat(F.array(F.lit(1.0)), v)
+    more = F.concat(F.array(state[0] + 1), F.zip_with(F.slice(state, 2, F.greatest(F.size(state) - 1, F.lit(0))), v, lambda a, b: a + b))
+    return F.when(F.size(state) <= 1, first).otherwise(more)
+
+
+def vector_combine(a, b):
+    """Two such states as one."""
+    a, b = col(a), col(b)
+    return F.when(F.size(a) <= 1, b).when(F.size(b) <= 1, a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+
+
+def vector_avg(state):
+    state = col(state)
+    return F.when(F.size(state) > 1, F.transform(F.slice(state, 2, F.greatest(F.size(state) - 1, F.lit(1))), lambda x: x / state[0]))

@@ -246,3 +246,58 @@ def group_by_primary_key(df: DataFrame, key: str, *aggregates: Column) -> DataFr
     """GROUP BY a primary key: the other columns depend on it and may be shown."""
     others = [F.first(c).alias(c) for c in df.columns if c != key]
     return df.groupBy(key).agg(*others, *aggregates)
+
+
+# Set-returning functions: a row for each element, beside the row's other columns
+
+
+def _exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
+    return df.withColumn(name, F.explode(array))
+
+
+def json_array_elements(df: DataFrame, document: str, name: str = "value", text: bool = False) -> DataFrame:
+    from brindle.functions import jsons
+
+    return _exploded(df, (jsons.elements_text if text else jsons.elements)(document), name)
+
+
+def json_each(df: DataFrame, document: str, text: bool = False) -> DataFrame:
+    """Columns key and value of each member."""
+    from brindle.functions import jsons
+
+    rows = _exploded(df, (jsons.each_text if text else jsons.each)(document), "__pair")
+    return rows.select(*df.columns, "__pair.key", "__pair.value")
+
+
+def json_to_recordset(df: DataFrame, document: str, schema: str) -> DataFrame:
+    """A row of typed columns for each object of an array."""
+    rows = _exploded(df, F.from_json(document, f"array<struct<{schema}>>"), "__row")
+    return rows.select(*df.columns, "__row.*")
+
+
+def json_table(df: DataFrame, document: str, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """JSON_TABLE: for each thing that a path finds, columns of (type, path within it)."""
+    from brindle.functions import jsons
+
+    rows = _exploded(df, jsons.path_query(document, path), "__doc")
+    return rows.select(*df.columns, *(jsons.json_value("__doc", p).try_cast(t).alias(c) for c, (t, p) in columns.items()))
+
+
+def regexp_split_to_table(df: DataFrame, text: str, pattern: str, name: str = "part", flags: str = "") -> DataFrame:
+    from brindle.functions import strings
+
+    return _exploded(df, strings.regexp_split_to_array(text, pattern, flags), name)
+
+
+def string_to_table(df: DataFrame, text: str, separator: str | None, name: str = "part", null_string: str | None = None) -> DataFrame:
+    from brindle.functions import strings
+
+    return _exploded(df, strings.string_to_array(text, separator, null_string), name)
+
+
+def skeys(df: DataFrame, pairs: str, name: str = "key") -> DataFrame:
+    return _exploded(df, F.map_keys(pairs), name)
+
+
+def svals(df: DataFrame, pairs: str, name: str = "value") -> DataFrame:
+    return _exploded(df, F.map_values(pairs), name)

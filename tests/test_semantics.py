@@ -222,3 +222,24 @@ def test_dialect(spark, tmp_path):
         pg.translate("SELECT * FROM t TABLESAMPLE SYSTEM (10)")
     with pytest.raises(ValueError):
         pg.translate("SELECT sum(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t")
+
+
+def test_set_returning_functions(spark):
+    df = spark.createDataFrame([(1, '[{"a": 1, "b": "x"}, {"a": 2}]', '{"k": 1, "m": null}', "p,q")], "id int, doc string, obj string, t string")
+    assert [r.value for r in R.json_array_elements(df, "doc").collect()] == ['{"a": 1, "b": "x"}', '{"a": 2}']
+    assert [(r.key, r.value) for r in R.json_each(df, "obj", text=True).collect()] == [("k", "1"), ("m", None)]
+    assert [(r.a, r.b) for r in R.json_to_recordset(df, "doc", "a: int, b: string").collect()] == [(1, "x"), (2, None)]
+    assert [(r.n, r.s) for r in R.json_table(df, "doc", "$[*]", {"n": ("int", "$.a"), "s": ("string", "$.b")}).collect()] == [(1, "x"), (2, None)]
+    assert [r.part for r in R.string_to_table(df, "t", ",").collect()] == ["p", "q"] == [r.part for r in R.regexp_split_to_table(df, "t", "[,;]").collect()]
+
+
+def test_every_function_has_a_name(spark):
+    from brindle.functions.registry import function, functions
+
+    assert len(functions()) > 300
+    assert one(spark, function("split_part")(F.lit("a.b"), ".", 2), function("jsonb_typeof")(F.lit("[1]")), function("l2_distance")([0.0, 3.0], [4.0, 0.0])) == ("b", "array", 5.0)
+    state = F.array(F.lit(0.0))
+    for v in ([1.0, 2.0], [3.0, 6.0]):
+        state = function("vector_accum")(state, v)
+    assert one(spark, function("vector_avg")(state)) == [2.0, 4.0]
+    assert one(spark, function("jsonb_to_tsvector")(F.lit('{"a": "the fat Cat"}'))) == "'cat':4 'fat':3"

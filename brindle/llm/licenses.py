@@ -112,9 +112,15 @@ def _numbers(shingles: Column, band: int) -> Column:
     return F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band)))
 
 
-def _rows(shingles: Column, kind: Kind) -> Column:
-    """Where windows start, from 0."""
-    return F.when(F.size(shingles) > 0, F.sequence(F.lit(0), F.size(shingles) - 1, F.lit(kind.stride))).otherwise(F.array().cast("array<int>"))
+def _starts(places: Column, shingles: Column, kind: Kind) -> Column:
+    """Where those windows start, from 0, that hold a word at one of the given places: others can't match."""
+
+    def around(p: Column) -> Column:
+        reach = F.greatest(F.lit(0), p - (kind.width + kind.shingle - 2))
+        low, high = F.ceil(reach / kind.stride).cast("int") * kind.stride, F.least(p, F.size(shingles) - 1)
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high), F.lit(kind.stride))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(places, around))))
 
 
 def _minima(spark: SparkSession, kind: Kind, templates: list[tuple[str, list[str]]]) -> list[list[int]]:
@@ -134,6 +140,10 @@ def _rounds(templates: Sequence[tuple[str, str]]) -> list[list[tuple[str, str]]]
     return out
 
 
+def _place_if(telling: list[str]):
+    return lambda w, i: F.when(w.isin(*telling), i)
+
+
 def _joined(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
 
@@ -171,10 +181,11 @@ def with_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         kinds = kinds_of(share)
         if not kinds:
             continue
-        low = F.lower("t")
-        screen = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in screen_words(kinds)))
+        low, telling = F.lower("t"), screen_words(kinds)
+        screen = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in telling))
         rows = rows.withColumn(f"w{r}", F.when(screen, F.filter(F.split(lower_ascii(F.col("t")), _GAP), lambda w: w != "")).otherwise(F.array().cast("array<string>")))
         words = F.col(f"w{r}")
+        rows = rows.withColumn(f"p{r}", F.filter(F.transform(words, _place_if(telling)), lambda p: p.isNotNull()))
         for k in sorted({x.shingle for x in kinds}):
             at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
             rows = rows.withColumn(f"s{r}_{k}", F.transform(at, _joined(words, k)))
@@ -182,8 +193,8 @@ def with_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 rows = rows.withColumn(f"h{r}_{k}_{band}", _numbers(F.col(f"s{r}_{k}"), band))
         for n, (kind, own) in enumerate(kinds.items()):
             shingles = F.col(f"s{r}_{kind.shingle}")
-            starts = _rows(shingles, kind)
-            hits = []
+            rows = rows.withColumn(f"a{r}_{n}", _starts(F.col(f"p{r}"), shingles, kind))
+            starts, hits = F.col(f"a{r}_{n}"), []
             for band, least in enumerate(_minima(rows.sparkSession, kind, own)):
                 numbers = F.col(f"h{r}_{kind.shingle}_{band}")
                 hits.append(F.filter(starts, _least_in(numbers, kind.width, least)))

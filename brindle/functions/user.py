@@ -22,7 +22,7 @@ def create_function(spark: SparkSession, name: str, arguments: str, returns: str
 def create_scalar(spark: SparkSession, name: str, f: Callable[..., pd.Series], returns: str, strict: bool = True) -> Callable[..., Column]:
     """A function over Arrow batches, also for SQL.  If strict, it doesn't see rows with a null argument."""
 
-    def run(*args: pd.Series) -> pd.Series:
+    def run(*args):
         if not strict:
             return f(*args)
         known = ~pd.concat([a.isna() for a in args], axis=1).any(axis=1)
@@ -31,21 +31,11 @@ def create_scalar(spark: SparkSession, name: str, f: Callable[..., pd.Series], r
             out[known] = f(*(a[known] for a in args))
         return out
 
-    kind = T._parse_datatype_string(returns)
-    names = [f"a{i}" for i in range(f.__code__.co_argcount)]
-    made = _typed(run, names)
-    udf = F.pandas_udf(made, kind)
+    udf = F.pandas_udf(run, T._parse_datatype_string(returns), F.PandasUDFType.SCALAR)
     spark.udf.register(name, udf)
     return udf
 
 
-def _typed(run: Callable[..., pd.Series], names: list[str]) -> Callable[..., pd.Series]:
-    """A function with one annotated parameter for each argument, from which the kind of batch is told."""
-    scope: dict[str, Any] = {"run": run, "pd": pd}
-    exec(f"def made({', '.join(f'{n}: pd.Series' for n in names)}) -> pd.Series:\n    return run({', '.join(names)})", scope)  # noqa: S102
-    return scope["made"]
-
-
 def create_aggregate(step: Callable[[Column, Column], Column], start: Column, final: Callable[[Column], Column] | None = None) -> Callable[..., Column]:
     """CREATE AGGREGATE (SFUNC, STYPE, INITCOND, FINALFUNC) of expressions.
 

@@ -243,3 +243,19 @@ def test_every_function_has_a_name(spark):
         state = function("vector_accum")(state, v)
     assert one(spark, function("vector_avg")(state)) == [2.0, 4.0]
     assert one(spark, function("jsonb_to_tsvector")(F.lit('{"a": "the fat Cat"}'))) == "'cat':4 'fat':3"
+
+
+def test_user_functions(spark):
+    from brindle.functions import misc, user
+
+    made = user.create_scalar(spark, "joined_twice", lambda a, b: a + b + b, "string")
+    df = spark.createDataFrame([("x", "y"), (None, "y")], "a string, b string")
+    assert [r[0] for r in df.select(made("a", "b")).collect()] == ["xyy", None]
+    assert spark.sql("SELECT joined_twice('p', 'q')").first()[0] == "pqq"
+    calls = user.Procedures(spark)
+    calls.create("twice", lambda s, n: n * 2)
+    assert calls.call("twice", 4) == 8
+    with pytest.raises(KeyError):
+        calls.call("missing")
+    row = spark.range(3).select(misc.uuid_generate_v1().alias("a"), misc.uuidv7().alias("b")).select("a", "b", misc.uuid_extract_version("a").alias("v1"), misc.uuid_extract_version("b").alias("v7"), misc.uuid_extract_timestamp("b").alias("t")).collect()
+    assert {(r.v1, r.v7) for r in row} == {(1, 7)} and all(r.t.year > 2000 for r in row)

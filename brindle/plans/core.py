@@ -436,6 +436,11 @@ def unnest_array(spark, d):
     return R.unnest(part, "word")
 
 
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def unnest_array_all(spark, d):
+    return R.unnest(load(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("word")), "word")
+
+
 @query("SELECT x, y, ordinality FROM (VALUES (1, 'a', 1), (2, 'b', 2), (3, NULL, 3)) t(x, y, ordinality)")
 def unnest_several(spark, d):
     row = spark.range(1).select(F.array(F.lit(1), F.lit(2), F.lit(3)).alias("x"), F.array(F.lit("a"), F.lit("b")).alias("y"))
@@ -448,6 +453,12 @@ def generate_subscripts(spark, d):
     return R.generate_subscripts(part, "words").drop("words")
 
 
+@query("SELECT p_partkey, unnest(generate_series(1, len(string_split(p_name, ' ')))) AS i FROM part")
+def generate_subscripts_all(spark, d):
+    part = load(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return R.generate_subscripts(part, "words").drop("words")
+
+
 @query("SELECT event_id, t.k AS key FROM events, (SELECT unnest(json_keys(props)) AS k) t")
 def json_object_keys(spark, d):
     from brindle.functions import jsons

@@ -43,6 +43,12 @@ def json_each(spark, d):
     return e.select("event_id", "p.key", "p.value")
 
 
+@query("SELECT event_id, k AS key, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_each_all(spark, d):
+    e = load(spark, d, "events").select("event_id", F.explode(jsons.each_text("props")).alias("p"))
+    return e.select("event_id", "p.key", "p.value")
+
+
 @query("SELECT n_nationkey, i AS place, x AS item FROM (SELECT n_nationkey, unnest([n_name, upper(n_name), '7']) AS x, unnest([1, 2, 3]) AS i FROM nation)")
 def json_array_elements(spark, d):
     doc = F.to_json(F.array("n_name", F.upper("n_name"), F.lit("7")))

@@ -10,3 +10,13 @@ def test_unnesting_keeps_every_row(spark, name, table, key):
     data = "/root/testdata/sf0.01"
     ids = {r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").select(key).collect()}
     assert {r[key] for r in registry.queries()[name](spark, data).collect()} == ids
+
+
+@pytest.mark.parametrize(("name", "table", "key"), [("sql_distinct_on_all", "orders", "o_custkey"), ("sql_json_operators_all", "events", "event_id")])
+def test_texts_keep_every_row(spark, name, table, key):
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/{table}.parquet")
+    rows = rows.filter("o_totalprice > 1000") if table == "orders" else rows
+    ids = {r[0] for r in rows.select(key).collect()}
+    got = [r[key] for r in registry.queries()[name](spark, data).collect()]
+    assert set(got) == ids and len(got) == len(ids)

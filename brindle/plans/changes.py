@@ -325,7 +325,10 @@ def inherited_tables(spark, d):
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, json_keys(props)[1]) = '1' OR event_id % 100 = 0")
 def json_token_index(spark, d):
-    """Containment by a table of tokens: rows whose document has a path and value, found by a semi join."""
+    """Rows whose document's first key has the value 1, by a semi join, and every hundredth event.
+
+    For containment by an index of all keys and values see json_token_containment.
+    """
     e = load(spark, d, "events").select("event_id", "props")
     first = F.get(F.json_object_keys("props"), F.lit(0))
     tokens = e.select("event_id", F.concat_ws("=", F.lit("first"), F.try_element_at(F.from_json("props", "map<string,string>"), first)).alias("token"))
@@ -334,6 +337,17 @@ def json_token_index(spark, d):
     return hits.unionByName(e.filter("event_id % 100 = 0").select("event_id")).distinct()
 
 
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') IN ('1', '1.0') AND json_type(props, '$.k') <> 'VARCHAR'")
+def json_token_containment(spark, d):
+    """Containment by a token index: postings of all wanted keys and values are intersected, the documents rechecked."""
+    from brindle.operators import jsonindex
+
+    doc = F.to_json(F.struct("event_type", F.try_parse_json("props").alias("props")))
+    docs = load(spark, d, "events").select("event_id", doc.alias("doc"))
+    index = jsonindex.token_index(docs, "event_id", "doc")
+    return jsonindex.containing(docs, index, "event_id", "doc", '{"event_type": "click", "props": {"k": 1}}').select("event_id")
+
+
 @query("SELECT c_custkey, c_acctbal::DECIMAL(18,2) AS c_acctbal FROM customer WHERE c_nationkey = 4")
 def create_table_as(spark, d):
     path = scratch(spark, "ctas")

@@ -1,20 +1,21 @@
 """License scans with SQL functions only.
 
-Texts are read in overlapping windows of words.  MinHash values of a window's shingles, one a band, are looked up
-among those of the license templates of its size; a window that shares a band with a template is then compared with
-it shingle by shingle.  Everything happens within a row, so nothing is shuffled.
+Texts are read in overlapping windows of words.  A window near a word that a match must have is compared with the
+license templates of its size, shingle by shingle.  Everything happens within a row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import LOWER, UPPER, lower_ascii
@@ -26,7 +27,26 @@ MISS = 1e-6
 #: Characters of templates that go into one expression; more templates take several.
 ROUND_CHARS = 40_000
 
-#: Notices of common licenses, as their publishers word them, and of the reserved rights.
+#: Kinds of Creative Commons licenses, and their versions with what the publisher puts behind the number.
+CC_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"4.0": "International", "3.0": "Unported"}
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """The sentence and the short form of each license; the older ones say NoDerivs.  Some are listed below."""
+    out = []
+    for number, place in CC_VERSIONS.items():
+        for kind, title in CC_KINDS.items():
+            title = title.replace("NoDerivatives", "NoDerivs") if number == "3.0" else title
+            if (kind, number) not in (("BY", "4.0"), ("BY-SA", "4.0")):
+                out.append((f"CC-{kind}-{number}", f"This work is licensed under a Creative Commons {title} {number} {place} License."))
+            if (kind, number) != ("BY-NC", "4.0"):
+                out.append((f"CC-{kind}-{number}", f"Licensed under CC {kind} {number}."))
+    return out
+
+
+#: Notices of common licenses, as their publishers word them, passages of their bodies, one-line
+#: forms in which texts name them, and the reserved rights.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -39,6 +59,32 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("CC0-1.0", "This work is licensed under CC0 1.0 Universal"),
+    *_creative_commons(),
     ("proprietary", "All rights reserved."),
 )
 
@@ -108,10 +154,6 @@ def screen_words(kinds: dict[Kind, list[tuple[str, list[str]]]]) -> list[str]:
     return chosen
 
 
-def _numbers(shingles: Column, band: int) -> Column:
-    return F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band)))
-
-
 def _starts(places: Column, shingles: Column, kind: Kind) -> Column:
     """Where those windows start, from 0, that hold a word at one of the given places: others can't match."""
 
@@ -123,14 +165,6 @@ def _starts(places: Column, shingles: Column, kind: Kind) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(places, around))))
 
 
-def _minima(spark: SparkSession, kind: Kind, templates: list[tuple[str, list[str]]]) -> list[list[int]]:
-    """For each band the least number of each template."""
-    each = [F.array_min(_numbers(F.array(*map(F.lit, own)), b)) for b in range(kind.bands) for _, own in templates]
-    flat = spark.range(1).select(F.array(*each).alias("m")).first().m
-    n = len(templates)
-    return [flat[b * n : b * n + n] for b in range(kind.bands)]
-
-
 def _rounds(templates: Sequence[tuple[str, str]]) -> list[list[tuple[str, str]]]:
     out: list[list[tuple[str, str]]] = [[]]
     for t in templates:
@@ -148,8 +182,9 @@ def _joined(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
 
 
-def _least_in(numbers: Column, width: int, wanted: list[int]):
-    return lambda i: F.array_min(F.slice(numbers, i + 1, width)).isin(*wanted)
+def _number(own: list[str]) -> int:
+    """A number for a template, by its shingles."""
+    return int.from_bytes(hashlib.sha256("\n".join(own).encode()).digest()[:7])
 
 
 def _compared(shingles: Column, kind: Kind, templates: list[tuple[str, list[str]]]):
@@ -159,20 +194,19 @@ def _compared(shingles: Column, kind: Kind, templates: list[tuple[str, list[str]
         window = F.slice(shingles, i + 1, kind.width)
         n_words = (F.size(window) + kind.shingle - 1).cast("long")
         share = lambda own: F.size(F.array_intersect(F.array(*map(F.lit, own)), window)) / len(own)
-        return F.array(*(F.struct(F.lit(name).alias("license"), i.cast("long").alias("first_word"), n_words.alias("n_words"), share(own).alias("containment")) for name, own in templates))
+        return F.array(*(F.struct(F.lit(name).alias("license"), i.cast("long").alias("first_word"), n_words.alias("n_words"), share(own).alias("containment"), F.lit(_number(own)).cast("long").alias("template")) for name, own in templates))
 
     return compare
 
 
 def with_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, *, text: str = "text", out: str = "licenses", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns ``keep``, by default all) with an array ``out`` of matches: license, first_word and n_words
-    of the window, containment (the share of the template's shingles that the window has), in order.
+    of the window, containment (the share of the template's shingles that the window has), the template's number, in order.
 
     A window matches a template if it has at least LEAST of the template's distinct shingles of five words (templates
     with fewer words are one shingle).  Words are lower-cased runs of letters and digits; anything but ASCII counts as
     a letter.  Null and empty texts have no matches, repeated rows are judged alike, and a column named as ``out``
-    is replaced.  Without templates or rows there are no matches.  A window that holds a template whole is missed
-    with a chance under MISS over the hash functions; there is no other way to miss it.
+    is replaced.  Without templates or rows there are no matches.  Windows are compared exactly, so none is missed.
     """
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("t"))
@@ -189,20 +223,12 @@ def with_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         for k in sorted({x.shingle for x in kinds}):
             at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
             rows = rows.withColumn(f"s{r}_{k}", F.transform(at, _joined(words, k)))
-            for band in range(max(x.bands for x in kinds if x.shingle == k)):
-                rows = rows.withColumn(f"h{r}_{k}_{band}", _numbers(F.col(f"s{r}_{k}"), band))
         for n, (kind, own) in enumerate(kinds.items()):
             shingles = F.col(f"s{r}_{kind.shingle}")
             rows = rows.withColumn(f"a{r}_{n}", _starts(F.col(f"p{r}"), shingles, kind))
-            starts, hits = F.col(f"a{r}_{n}"), []
-            for band, least in enumerate(_minima(rows.sparkSession, kind, own)):
-                numbers = F.col(f"h{r}_{kind.shingle}_{band}")
-                hits.append(F.filter(starts, _least_in(numbers, kind.width, least)))
-            rows = rows.withColumn(f"c{r}_{n}", F.array_sort(F.array_distinct(F.concat(*hits))))
-
-            rows = rows.withColumn(f"m{r}_{n}", F.filter(F.flatten(F.transform(f"c{r}_{n}", _compared(shingles, kind, own))), lambda m: m["containment"] >= LEAST))
+            rows = rows.withColumn(f"m{r}_{n}", F.filter(F.flatten(F.transform(f"a{r}_{n}", _compared(shingles, kind, own))), lambda m: m["containment"] >= LEAST))
             found.append(f"m{r}_{n}")
-    nothing = F.array().cast("array<struct<license:string,first_word:bigint,n_words:bigint,containment:double>>")
+    nothing = F.array().cast("array<struct<license:string,first_word:bigint,n_words:bigint,containment:double,template:bigint>>")
     matches = F.array_sort(F.concat(*found), lambda a, b: _order(a, b)) if found else nothing
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), matches.alias(out))
 
@@ -212,3 +238,39 @@ def _order(a: Column, b: Column) -> Column:
     for c in ("n_words", "license", "first_word"):
         out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
     return out
+
+
+def _rivals(templates: Sequence[tuple[str, str]]) -> list[tuple[int, int, float]]:
+    """Pairs of templates of different licenses (a, b) where a's words alone make b match, and b's containment in a."""
+    own = [(name, k, x) for k, group in kinds_of(templates).items() for name, x in group]
+    out = []
+    for (a, j, x), (b, k, y) in permutations(own, 2):
+        in_a = set(shingles_of(_words(x), k.shingle)) if j.shingle >= k.shingle else set()
+        share = sum(s in in_a for s in y) / len(y)
+        if a != b and share >= LEAST and (share < 1 or len(x) > len(y)):
+            out.append((_number(x), _number(y), share))
+    return out
+
+
+def _words(shingles: list[str]) -> list[str]:
+    """The words that distinct shingles in order were cut from, but for repeats."""
+    return shingles[0].split() + [s.split()[-1] for s in shingles[1:]]
+
+
+def best(matches: Column, templates: Sequence[tuple[str, str]] = TEMPLATES) -> Column:
+    """Of matches whose windows overlap and whose templates share words, those that aren't explained by another.
+
+    A match goes if an overlapping one has a rival template with no less containment and all that was found of its own
+    template can be the rival's words.  Others stay, near as they may lie, so that no notice is lost to a neighbour.
+    """
+    rivals = _rivals(templates)
+    if not rivals:
+        return matches
+    pairs = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).alias("s")) for a, b, s in rivals))
+
+    def explained(m: Column, o: Column) -> Column:
+        near = (o["first_word"] < m["first_word"] + m["n_words"]) & (m["first_word"] < o["first_word"] + o["n_words"])
+        rival = F.exists(pairs, lambda p: (p["a"] == o["template"]) & (p["b"] == m["template"]) & (m["containment"] <= p["s"] + 1e-9))
+        return near & (o["containment"] >= m["containment"]) & rival
+
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: explained(m, o)))

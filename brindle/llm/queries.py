@@ -48,7 +48,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.with_licenses(_read(spark, sf_dir, "documents"), out="found", keep=["doc_id"])
+    found = licenses.with_licenses(_read(spark, sf_dir, "documents"), out="found", keep=["doc_id"]).withColumn("found", licenses.best(F.col("found")))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
     return found.select(
         "doc_id",

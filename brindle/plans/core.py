@@ -479,6 +479,20 @@ def vector_nearest(spark, d):
     return near.select("vec_id", F.round("exact", 5).alias("distance"))
 
 
+@query("""
+    SELECT query_id, vec_id, round(exact, 5) AS distance FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS exact
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) <= 10""")
+def vector_nearest_all(spark, d):
+    """Every twentieth vector as a query against all rows; each task keeps ten rows a query before the shuffle."""
+    e = load(spark, d, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = e.crossJoin(q).select("query_id", "vec_id", vectors.l2_distance("embedding", F.col("q")).alias("exact"))
+    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("exact", "vec_id"))).filter("place <= 10")
+    return near.select("query_id", "vec_id", F.round("exact", 5).alias("distance"))
+
+
 @query("""
     SELECT label, i - 1 AS at, round(avg(embedding[i]::DOUBLE), 5) AS mean FROM embeddings, generate_series(1, (SELECT max(len(embedding)) FROM embeddings)) t(i)
     WHERE i <= len(embedding) GROUP BY label, i""")

@@ -20,3 +20,10 @@ def test_texts_keep_every_row(spark, name, table, key):
     ids = {r[0] for r in rows.select(key).collect()}
     got = [r[key] for r in registry.queries()[name](spark, data).collect()]
     assert set(got) == ids and len(got) == len(ids)
+
+
+def test_every_twentieth_vector_is_a_query(spark):
+    data = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    rows = registry.queries()["vector_nearest_all"](spark, data).collect()
+    assert {r.query_id for r in rows} == ids and len(rows) == 10 * len(ids)

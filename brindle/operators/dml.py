@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.relational import free_name
+from brindle.session import scratch
+
 
 def _on(keys: Sequence[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys))
@@ -51,10 +54,28 @@ def update(target: DataFrame, changes: dict[str, Column], where: Column | None =
     return target.select(*(F.when(hit, changes[c]).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in target.columns))
 
 
+def _first_of(rows: DataFrame, keys: Sequence[str], name: str) -> Column:
+    """A row's place among those of its keys, in the order of all columns, as ``name``."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*(c for c in rows.columns if c not in keys) or keys)).alias(name)
+
+
 def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], changes: dict[str, Column], where: Column | None = None) -> DataFrame:
-    """UPDATE ... FROM an equi-join; in ``changes`` the row is ``t``, the other ``s``.  Keys must be unique in source."""
-    both = target.alias("t").join(source.withColumn("__hit", F.lit(True)).alias("s"), _on(keys, "t", "s"), "left")
-    hit = F.coalesce(F.col("s.__hit") & (where if where is not None else F.lit(True)), F.lit(False))
+    """UPDATE ... FROM an equi-join; in ``changes`` and ``where`` the row is ``t``, the other ``s``.
+
+    A row is changed once, by the first of the source rows that meet it, in the order of the source's columns.
+    """
+    if where is None:
+        ranked = source.select("*", _first_of(source, keys, "__n")).filter("__n = 1").drop("__n")
+        both = target.alias("t").join(ranked.withColumn("__hit", F.lit(True)).alias("s"), _on(keys, "t", "s"), "left")
+        hit = F.coalesce(F.col("s.__hit"), F.lit(False))
+    else:
+        own = target.withColumn("__row", F.monotonically_increasing_id())
+        joined = own.alias("t").join(source.withColumn("__hit", F.lit(True)).alias("s"), _on(keys, "t", "s"), "left")
+        met = joined.withColumn("__met", F.coalesce(F.col("s.__hit") & where, F.lit(False)))
+        # by the keys first, as the join has dealt the rows
+        w = Window.partitionBy(*(F.col(f"t.{k}") for k in keys), F.col("t.__row")).orderBy(F.col("__met").desc(), *(F.col(f"s.{c}") for c in source.columns))
+        both = met.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+        hit = F.col("__met")
     return both.select(*(F.when(hit, changes[c]).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) if c in changes else F.col(f"t.{c}").alias(c) for c in target.columns))
 
 
@@ -63,6 +84,11 @@ def delete(target: DataFrame, where: Column) -> DataFrame:
     return target.filter(~F.coalesce(where, F.lit(False)))
 
 
+def truncate(target: DataFrame) -> DataFrame:
+    """TRUNCATE: no rows, the same columns."""
+    return target.limit(0)
+
+
 def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str], where: Column | None = None) -> DataFrame:
     on = _on(keys, "t", "s")
     return target.alias("t").join(source.alias("s"), on & where if where is not None else on, "left_anti")
@@ -71,9 +97,11 @@ def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str], wher
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *, matched: Sequence[tuple[Column | None, dict[str, Column] | str]] = (), not_matched: Sequence[tuple[Column | None, dict[str, Column]]] = (), not_matched_by_source: Sequence[tuple[Column | None, dict[str, Column] | str]] = ()) -> DataFrame:
     """MERGE: for each kind the first clause whose condition holds acts; "delete" and "nothing" are actions too.
 
-    One full outer join and a choice for each column; rows that a clause deletes are filtered out.
+    One full outer join and a choice for each column; rows that a clause deletes are filtered out.  A clause that
+    changes or deletes a row which several source rows match raises, as no row may be affected twice.
     """
-    both = target.withColumn("__t", F.lit(True)).alias("t").join(source.withColumn("__s", F.lit(True)).alias("s"), _on(keys, "t", "s"), "full")
+    numbered = source.select("*", F.lit(True).alias("__s"), _first_of(source, keys, "__n"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__of"))
+    both = target.withColumn("__t", F.lit(True)).alias("t").join(numbered.alias("s"), _on(keys, "t", "s"), "full")
     kinds = ((F.col("t.__t").isNotNull() & F.col("s.__s").isNotNull(), matched), (F.col("t.__t").isNull(), not_matched), (F.col("s.__s").isNull(), not_matched_by_source))
     action = F.lit(None).cast("int")
     clauses: list[dict[str, Column] | str] = []
@@ -91,6 +119,13 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *, matched:
     stays = F.col("t.__t").isNotNull() | F.coalesce(F.col("__action").isin(*insert_numbers), F.lit(False)) if insert_numbers else F.col("t.__t").isNotNull()
     if gone:
         stays = stays & ~F.coalesce(F.col("__action").isin(*gone), F.lit(False))
+    acts = [n for n, c in enumerate(clauses) if n < len(matched) and c != "nothing"]
+    if matched:
+        # of several source rows that do nothing to a row, one stands for it
+        stays = stays & (F.col("t.__t").isNull() | F.col("s.__s").isNull() | (F.col("s.__n") == 1))
+    if acts:
+        twice = F.col("t.__t").isNotNull() & (F.col("s.__of") > 1) & F.coalesce(F.col("__action").isin(*acts), F.lit(False))
+        stays = F.when(twice, F.raise_error(F.lit("MERGE command cannot affect row a second time")).cast("boolean")).otherwise(stays)
     out = []
     for c in target.columns:
         value = F.col(f"t.{c}")
@@ -104,9 +139,33 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *, matched:
     return both.filter(stays).select(*out)
 
 
-def returning(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """RETURNING: rows of the new state that the old one lacks or has differently."""
-    return after.exceptAll(before.select(*after.columns))
+# RETURNING: the rows that a statement has touched, whether their values differ or not
+
+
+def insert_returning(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """INSERT ... RETURNING *: the new rows, as they are stored."""
+    return target.limit(0).unionByName(rows, allowMissingColumns=True).select(*(F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns))
+
+
+def update_returning(target: DataFrame, changes: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """UPDATE ... RETURNING *: rows that the condition holds for, with their new values."""
+    hit = target.filter(where) if where is not None else target
+    return update(hit, changes)
+
+
+def delete_returning(target: DataFrame, where: Column | None = None) -> DataFrame:
+    """DELETE ... RETURNING *: the rows that go."""
+    return target.filter(where) if where is not None else target
+
+
+def upsert_returning(target: DataFrame, rows: DataFrame, keys: Sequence[str], changes: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT DO UPDATE ... RETURNING *: rows added or updated, not those that ``where`` spares."""
+    touched = target.join(rows.select(*keys), list(keys), "left_semi")
+    if where is not None:
+        hit = touched.alias("t").join(rows.alias("excluded"), _on(keys, "t", "excluded")).filter(where).select(*(F.col(f"t.{k}").alias(k) for k in keys))
+        spared = touched.join(hit, list(keys), "left_anti").select(*keys)
+        rows = rows.join(spared, list(keys), "left_anti")
+    return upsert(touched, rows, keys, changes, where).join(rows.select(*keys), list(keys), "left_semi").select(*target.columns)
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -120,16 +179,20 @@ def with_generated(rows: DataFrame, generated: dict[str, Column]) -> DataFrame:
 
 
 def with_identity(rows: DataFrame, name: str, start: int = 1, step: int = 1) -> DataFrame:
-    """Numbers of a sequence, without gaps, in no given order.
+    """Numbers of a sequence, without gaps, in the order of the partitions and the rows in them.
 
-    Partitions are counted first and each numbers its own rows, so no task sees them all.
+    Each task numbers its own rows and a table of them is written, so that a stage that runs again can't number them
+    anew; a row for each partition then says how many come before it.
     """
-    marked = rows.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    local = marked.withColumn("__i", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33))
-    sizes = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
-    # a row for each partition
-    before = sizes.withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "b")
-    return local.join(F.broadcast(before), "__p").withColumn(name, F.lit(start) + (F.col("b") + F.col("__i")) * step).drop("__p", "__m", "__i", "b")
+    part, place, n = (free_name(rows.columns, x) for x in ("part", "place", "n"))
+    marked = rows.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    path = scratch(rows.sparkSession, "identity")
+    marked.write.parquet(path)
+    stored = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    before = sizes.select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n))
+    # a row for each partition, fewer than a million
+    return stored.join(F.broadcast(before), part).select(*(F.col(c) for c in rows.columns), (F.lit(start) + (F.col(n) + F.col(place)) * step).alias(name))
 
 
 class Sequence_:

@@ -103,6 +103,38 @@ def test_array_agg_keeps_nulls(spark):
     assert (row.a, row.s, row.j) == (["b", None, "a"], "b,a", '["b", null, "a"]')
 
 
+def test_repeated_source_keys(spark):
+    t = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (3, 30)], "id int, x int")
+    s = spark.createDataFrame([(1, 7), (1, 5), (2, 9), (8, 1), (8, 2)], "id int, x int")
+    # an update takes the first source row, and each target row once
+    assert sorted(map(tuple, dml.update_from(t, s, ["id"], {"x": F.col("s.x")}).collect())) == [(1, 5), (2, 9), (2, 9), (3, 30)]
+    found = dml.update_from(t, s, ["id"], {"x": F.col("s.x")}, F.col("s.x") > 5)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 9), (2, 9), (3, 30)]
+    with pytest.raises(Exception, match="affect row a second time"):
+        dml.merge(t, s, ["id"], matched=[(None, {"x": F.col("s.x")})]).collect()
+    # rows that no clause touches are neither refused nor repeated
+    out = dml.merge(t, s, ["id"], matched=[(F.col("s.id") == 2, {"x": F.col("s.x")})], not_matched=[(None, {"id": F.col("s.id"), "x": F.col("s.x")})])
+    assert sorted(map(tuple, out.collect())) == [(1, 10), (2, 9), (2, 9), (3, 30), (8, 1), (8, 2)]
+
+
+def test_returning(spark):
+    t = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, x int")
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(dml.insert_returning(t, spark.createDataFrame([(9,)], "id int"))) == ["(9, None)"]
+    # updated rows count even if nothing changes
+    assert rows(dml.update_returning(t, {"x": F.lit(10)}, F.col("x") < 15)) == ["(1, 10)"]
+    assert rows(dml.delete_returning(t, F.col("x") > 15)) == ["(2, 20)"] and dml.truncate(t).count() == 0
+    new = spark.createDataFrame([(1, 5), (2, 6), (7, 8)], "id int, x int")
+    assert rows(dml.upsert_returning(t, new, ["id"])) == ["(1, 5)", "(2, 6)", "(7, 8)"]
+    assert rows(dml.upsert_returning(t, new, ["id"], where=F.col("t.x") > 15)) == ["(2, 6)", "(7, 8)"]
+
+
+def test_identity_numbers_follow_partitions(spark):
+    rows = spark.range(100).withColumn("n", F.lit("x")).repartition(7)
+    got = dml.with_identity(rows, "number", 5, 5).collect()
+    assert sorted(r.number for r in got) == list(range(5, 505, 5)) and {r.id for r in got} == set(range(100)) and got[0].n == "x"
+
+
 def test_upsert_where_and_merge_delete(spark):
     t = spark.createDataFrame([(1, 10), (2, 20)], "id int, x int")
     s = spark.createDataFrame([(2, 5), (3, 7)], "id int, x int")

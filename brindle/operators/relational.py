@@ -85,12 +85,16 @@ def limit_offset(df: DataFrame, order: Sequence[Column], n: int | None = None, o
 
 def not_in(df: DataFrame, key: Key, values: DataFrame, value: str) -> DataFrame:
     """NOT IN (subquery) in three-valued logic: any null among the values keeps no row, null keys are kept only if
-    there are no values."""
-    left = df.withColumn("__key", _col(key))
-    spark = df.sparkSession
-    left.createOrReplaceTempView("__not_in_left")
-    values.select(F.col(value).alias("v")).createOrReplaceTempView("__not_in_values")
-    return spark.sql("SELECT * FROM __not_in_left WHERE __key NOT IN (SELECT v FROM __not_in_values)").drop("__key")
+    there are no values.
+
+    An anti join by the key, whatever the sizes, and one row that says whether there are values and nulls among them.
+    """
+    own, some, nulls = (free_name(df.columns, x) for x in ("key", "some", "nulls"))
+    listed = values.select(F.col(value).alias(own))
+    about = listed.agg(F.count(F.lit(1)).alias(some), F.count_if(F.col(own).isNull()).alias(nulls))
+    left = df.withColumn(own, _col(key)).join(listed.filter(F.col(own).isNotNull()), own, "left_anti")
+    fits = (F.col(some) == 0) | (F.col(nulls) == 0) & F.col(own).isNotNull()
+    return left.crossJoin(F.broadcast(about)).filter(fits).select(*(F.col(c) for c in df.columns))
 
 
 def array_agg(x: Key, order: Sequence[Key] | None = None, distinct: bool = False) -> Column:
@@ -158,10 +162,7 @@ def percentile_cont(x: Key, p: float) -> Column:
 
 def percentile_disc(df: DataFrame, keys: Sequence[str], x: str, ps: Sequence[float]) -> DataFrame:
     """percentile_disc of several shares by group."""
-    parts = ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x}) AS p{i}" for i, p in enumerate(ps))
-    df.createOrReplaceTempView("__percentile_disc")
-    by = ", ".join(keys)
-    return df.sparkSession.sql(f"SELECT {by + ', ' if by else ''}{parts} FROM __percentile_disc" + (f" GROUP BY {by}" if by else ""))
+    return df.groupBy(*keys).agg(*(F.expr(f"percentile_disc({float(p)}D) WITHIN GROUP (ORDER BY `{x}`)").alias(f"p{i}") for i, p in enumerate(ps)))
 
 
 def hypothetical_rank(x: Key, value: Any, descending: bool = False) -> Column:

@@ -8,11 +8,9 @@ from brindle.session import register
 
 TEXTS = {
     "regex_operators": "SELECT o_orderkey, o_totalprice::numeric(18,2) AS p FROM orders WHERE o_orderpriority ~ '^[12]-' AND o_orderpriority !~* 'HIGH' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
-    "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 50",
-    "distinct_on_all": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
-    "json_operators_all": "SELECT event_id, props ->> 'k' AS v, (props -> 'k') IS NULL AS missing FROM events",
+    "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
+    "json_operators": "SELECT event_id, props ->> 'k' AS v, (props -> 'k') IS NULL AS missing FROM events",
     "ordered_aggregates": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names, array_to_string(array_agg(n_nationkey ORDER BY n_nationkey), '-') AS ks FROM nation GROUP BY n_regionkey",
-    "json_operators": "SELECT event_id, props ->> 'k' AS v, (props -> 'k') IS NULL AS missing FROM events WHERE event_id % 50 = 0",
     "date_parts": "SELECT extract(dow FROM o_orderdate) AS d, extract(year FROM o_orderdate) AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS n FROM orders GROUP BY 1, 2",
     "text_functions": "SELECT n_nationkey, left(n_name, -2) AS a, right(n_name, 2) AS b, substr(n_name, 2) AS c, substring(n_name, 1, 3) AS e, concat(n_name, NULL, '!') AS f, strpos(n_name, 'A') AS g, regexp_replace(n_name, '[AEIOU]', '_') AS h, regexp_replace(n_name, '[AEIOU]', '_', 'g') AS i FROM nation",
     "series": "SELECT g.i, g.i * 2 AS twice FROM generate_series(1, 100, 3) AS g(i)",

@@ -5,14 +5,14 @@ import pytest
 from brindle.plans import registry
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("unnest_array_all", "part", "p_partkey"), ("generate_subscripts_all", "part", "p_partkey"), ("json_each_all", "events", "event_id")])
+@pytest.mark.parametrize(("name", "table", "key"), [("unnest_array", "part", "p_partkey"), ("generate_subscripts", "part", "p_partkey"), ("json_each", "events", "event_id")])
 def test_unnesting_keeps_every_row(spark, name, table, key):
     data = "/root/testdata/sf0.01"
     ids = {r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").select(key).collect()}
     assert {r[key] for r in registry.queries()[name](spark, data).collect()} == ids
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("sql_distinct_on_all", "orders", "o_custkey"), ("sql_json_operators_all", "events", "event_id")])
+@pytest.mark.parametrize(("name", "table", "key"), [("sql_distinct_on", "orders", "o_custkey"), ("sql_json_operators", "events", "event_id")])
 def test_texts_keep_every_row(spark, name, table, key):
     data = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{data}/{table}.parquet")

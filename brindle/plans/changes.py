@@ -79,6 +79,81 @@ def merge_into(spark, d):
     )
 
 
+# Statements
+
+
+def _database(spark, d):
+    from brindle.plans.statements import PgDatabase
+
+    return PgDatabase(spark, customer=_customers(spark, d))
+
+
+@query(f"SELECT c_custkey + 1000000 AS id, upper(c_name) AS name, 5::DECIMAL(18,2) AS balance FROM {_C} WHERE c_nationkey = 2")
+def statement_insert_returning(spark, d):
+    return _database(spark, d).sql("INSERT INTO customer (c_custkey, c_name, c_acctbal) SELECT c_custkey + 1000000, upper(c_name), 5 FROM customer WHERE c_nationkey = 2 RETURNING c_custkey AS id, c_name AS name, c_acctbal AS balance")
+
+
+@query(f"SELECT c_custkey, c_name, c_nationkey, (c_acctbal + CASE WHEN c_nationkey = 7 AND c_acctbal > 0 THEN 1 ELSE 0 END)::DECIMAL(18,2) AS c_acctbal FROM {_C}")
+def statement_on_conflict(spark, d):
+    base = _database(spark, d)
+    base.sql("INSERT INTO customer AS c SELECT c_custkey, c_name, c_nationkey, 1 FROM customer WHERE c_nationkey = 7 ON CONFLICT (c_custkey) DO UPDATE SET c_acctbal = c.c_acctbal + excluded.c_acctbal WHERE c.c_acctbal > 0")
+    return base.sql("SELECT * FROM customer")
+
+
+@query(f"SELECT c_custkey, (c_acctbal * 2)::DECIMAL(18,2) AS doubled FROM {_C} WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)")
+def statement_update_returning(spark, d):
+    load(spark, d, "nation").createOrReplaceTempView("nation")
+    return _database(spark, d).sql("UPDATE customer AS c SET c_acctbal = c.c_acctbal * 2, c_name = lower(c_name) WHERE c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3) RETURNING c_custkey, c_acctbal AS doubled")
+
+
+@query(f"SELECT c_custkey, coalesce((SELECT min(o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000), c_name) AS c_name, c_nationkey, c_acctbal FROM {_C}")
+def statement_update_from(spark, d):
+    # many orders meet a customer; it is changed once, by the least of the new values
+    load(spark, d, "orders").createOrReplaceTempView("orders")
+    base = _database(spark, d)
+    base.sql("UPDATE customer SET c_name = o.o_orderpriority FROM orders o WHERE o.o_custkey = c_custkey AND o.o_totalprice > $1", 150000)
+    return base.sql("SELECT * FROM customer")
+
+
+@query(f"SELECT c_custkey, c_name FROM {_C} WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def statement_delete_returning(spark, d):
+    load(spark, d, "orders").createOrReplaceTempView("orders")
+    return _database(spark, d).sql("DELETE FROM customer USING orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' RETURNING c_custkey, c_name")
+
+
+@query(f"SELECT 'new' AS place, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM {_C} WHERE c_acctbal < 0 UNION ALL SELECT 'old', count(*), sum(c_custkey)::BIGINT FROM {_C} WHERE c_acctbal >= 0 UNION ALL SELECT 'seen', count(*), sum(c_custkey)::BIGINT FROM {_C}")
+def statement_changes_in_with(spark, d):
+    # rows move from one table to another; the statement itself still sees them all
+    base = _database(spark, d)
+    base.sql("CREATE TABLE debtors (c_custkey bigint PRIMARY KEY, c_name text NOT NULL)")
+    seen = base.sql("WITH gone AS (DELETE FROM customer WHERE c_acctbal < 0 RETURNING c_custkey, c_name), put AS (INSERT INTO debtors SELECT c_custkey, c_name FROM gone RETURNING c_custkey) SELECT 'seen' AS place, count(*) AS n, CAST(sum(c_custkey) AS bigint) AS total FROM customer")
+    rest = base.sql("SELECT 'new' AS place, count(*) AS n, CAST(sum(c_custkey) AS bigint) AS total FROM debtors UNION ALL SELECT 'old', count(*), CAST(sum(c_custkey) AS bigint) FROM customer")
+    return seen.unionByName(rest)
+
+
+@query(f"""
+    SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 1 THEN c_acctbal + 10 ELSE c_acctbal END::DECIMAL(18,2) AS c_acctbal FROM {_C} WHERE c_nationkey <> 2
+    UNION ALL SELECT c_custkey + 1000000, c_name, NULL, 0 FROM {_C} WHERE c_nationkey = 3""")
+def statement_merge(spark, d):
+    base = _database(spark, d)
+    base.sql("SELECT CASE WHEN c_nationkey = 3 THEN c_custkey + 1000000 ELSE c_custkey END AS id, c_name AS name, c_nationkey AS nation INTO staged FROM customer WHERE c_nationkey IN (1, 2, 3)")
+    base.sql("""
+        MERGE INTO customer AS c USING staged AS s ON c.c_custkey = s.id
+        WHEN MATCHED AND s.nation = 2 THEN DELETE
+        WHEN MATCHED THEN UPDATE SET c_acctbal = c.c_acctbal + 10
+        WHEN NOT MATCHED THEN INSERT (c_custkey, c_name, c_acctbal) VALUES (s.id, s.name, 0)""")
+    return base.sql("SELECT * FROM customer")
+
+
+@query("SELECT 0::BIGINT AS n, 1::BIGINT AS added")
+def statement_truncate(spark, d):
+    base = _database(spark, d)
+    base.sql("TRUNCATE TABLE customer")
+    empty = base.sql("SELECT count(*) AS n FROM customer")
+    base.sql("INSERT INTO customer VALUES (1, 'one', 2, 3.5)")
+    return empty.crossJoin(base.sql("SELECT count(*) AS added FROM customer WHERE c_acctbal = 3.5"))
+
+
 # Constraints
 
 

@@ -26,10 +26,27 @@ TEXTS = {
     "row_values": "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) IN (SELECT r_regionkey, 3 FROM region) OR n_name IS NOT DISTINCT FROM 'NATION_7'",
     "recursion": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS square FROM t",
     "quoted_names": "SELECT \"n_name\" AS \"Name\", 'it''s' AS s, E'a\\tb' AS e, $$a 'quoted' text$$ AS d FROM nation",
+    "natural_join": "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) b",
+    "lateral_limit": "SELECT c.c_custkey, x.o_orderkey FROM customer c CROSS JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 3) x",
+    "theta_join": "SELECT s_suppkey, r_name FROM supplier JOIN region ON s_acctbal > r_regionkey * 1500",
     "set_operations": "(SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)",
 }
 
 
+#: Texts that DuckDB writes otherwise.
+OTHERS = {
+    "between_symmetric": ("SELECT p_partkey FROM part WHERE p_size BETWEEN SYMMETRIC 20 AND 10", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20"),
+    "sample_all": ("SELECT c_custkey, c_name FROM customer TABLESAMPLE SYSTEM (100)", "SELECT c_custkey, c_name FROM customer"),
+    "order_by_using": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal USING >, c_custkey USING < LIMIT 7", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7"),
+    "json_table": (
+        """SELECT n_nationkey, j.place, j.word, j.size, j.odd FROM (SELECT n_nationkey, concat('{"words": [{"w": "', replace(n_name, '_', '", "n": 7}, {"w": "'), '"}]}') AS doc FROM nation) t,
+        JSON_TABLE(t.doc, '$.words[*]' COLUMNS (place FOR ORDINALITY, word text PATH '$.w', size int PATH '$.n', odd boolean EXISTS PATH '$.n')) AS j""",
+        """SELECT n_nationkey, i AS place, w AS word, CASE WHEN i < k THEN 7 END AS size, i < k AS odd
+        FROM (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w, generate_subscripts(string_split(n_name, '_'), 1) AS i, len(string_split(n_name, '_')) AS k FROM nation)""",
+    ),
+}
+
+
 def _runner(name: str, text: str):
     def run(spark, d):
         register(spark, d, "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -41,3 +58,6 @@ def _runner(name: str, text: str):
 
 for _name, _text in TEXTS.items():
     query(_text)(_runner(_name, _text))
+
+for _name, (_text, _oracle) in OTHERS.items():
+    query(_oracle)(_runner(_name, _text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from types import FunctionType
 
-from brindle.functions import arrays, datetimes, jsons, maps, maths, misc, strings, textsearch, vectors
+from brindle.functions import arrays, datetimes, jsons, maps, maths, misc, names, strings, textsearch, vectors
 
 #: Names that differ from the library's: json and jsonb share functions, and some have a Python name of their own.
 _RENAMED = {
@@ -31,7 +31,7 @@ def functions() -> dict[str, Callable]:
         found[name] = f
         if name.startswith("json_"):
             found["jsonb_" + name.removeprefix("json_")] = f
-    return found
+    return found | _public(names)
 
 
 def function(name: str) -> Callable:

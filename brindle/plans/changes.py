@@ -248,6 +248,64 @@ def version_diff_summary(spark, d):
     return _history(spark, d).diff_summary("HEAD~2", "HEAD")
 
 
+@query("SELECT * FROM (VALUES ('main', 'third'), ('side', 'aside')) t(name, latest_commit_message)")
+def version_branches(spark, d):
+    return _history(spark, d).branch_table().select("name", "latest_commit_message")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def version_revert(spark, d):
+    store = _history(spark, d)
+    store.revert("HEAD")
+    return store.table("nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+_MERGED = "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'FIVE' ELSE n_name END AS n_name, CASE WHEN n_nationkey IN (5, 7) THEN 0 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 3"
+
+
+@query(_MERGED)
+def version_cherry_pick(spark, d):
+    store = _history(spark, d)
+    store.cherry_pick("side")
+    return store.table("nation")
+
+
+@query(f"SELECT n.*, m.message FROM ({_MERGED}) n, (VALUES ('aside')) m(message) WHERE n_nationkey IN (5, 7, 8)")
+def version_rebase(spark, d):
+    store = _history(spark, d)
+    store.checkout("side")
+    store.rebase("main")
+    return store.table("nation").filter("n_nationkey IN (5, 7, 8)").crossJoin(store.log().filter("commit_order = 0").select("message"))
+
+
+@query("SELECT 'aside' AS state, count(*) AS n FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'back', count(*) FROM nation WHERE n_nationkey < 10 AND n_nationkey <> 3 UNION ALL SELECT 'status', 1")
+def version_stash(spark, d):
+    store = _history(spark, d)
+    store.put("nation", store.table("nation").filter("n_nationkey < 10"))
+    changed = store.status().filter("table_name = 'nation' AND status = 'modified'").agg(F.lit("status").alias("state"), F.count("*").alias("n"))
+    store.stash()
+    aside = store.table("nation").agg(F.lit("aside").alias("state"), F.count("*").alias("n"))
+    store.stash_pop()
+    return aside.unionByName(store.table("nation").agg(F.lit("back").alias("state"), F.count("*").alias("n"))).unionByName(changed)
+
+
+@query("SELECT 'reset' AS state, n_nationkey, n_name FROM nation UNION ALL SELECT 'tagged', n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def version_reset_and_tag(spark, d):
+    store = _history(spark, d)
+    store.tag("v1", "HEAD~2")
+    store.reset("HEAD~1", hard=True)
+    rows = lambda state, df: df.select(F.lit(state).alias("state"), "n_nationkey", "n_name")
+    return rows("reset", store.table("nation")).unionByName(rows("tagged", store.table("nation", "v1")))
+
+
+@query("""SELECT 'foreign key' AS violation_type, 'customer' AS "table", '{"c_nationkey":3}' AS "row" FROM customer WHERE c_nationkey = 3""")
+def version_constraint_violations(spark, d):
+    store = VersionStore(spark, scratch(spark, "versions"))
+    store.put("nation", load(spark, d, "nation").filter("n_nationkey <> 3"), ["n_nationkey"])
+    store.put("customer", load(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_custkey"])
+    return store.constraint_violations([("customer", {"c_nationkey": "n_nationkey"}, "nation")])
+
+
 @query("SELECT c_custkey, c_acctbal::DECIMAL(18,2) * 2 AS ours, c_acctbal::DECIMAL(18,2) * 3 AS theirs FROM customer WHERE c_custkey % 6 = 0 AND c_acctbal <> 0")
 def merge_conflicts(spark, d):
     c = _customers(spark, d)

@@ -265,10 +265,30 @@ def test_set_returning_functions(spark):
     assert [r.part for r in R.string_to_table(df, "t", ",").collect()] == ["p", "q"] == [r.part for r in R.regexp_split_to_table(df, "t", "[,;]").collect()]
 
 
+def test_functions_behind_operators(spark):
+    from brindle.functions.registry import function as f
+
+    h = lambda **kv: F.create_map(*(F.lit(x) for p in kv.items() for x in p))
+    assert one(spark, f("anytextcat")(1, "x"), f("hstore_lt")(h(a="1"), h(a="2")), f("hstore_ne")(h(a="1"), h(a="1")), f("vector_lt")(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0)))) == ("1x", True, False, True)
+    assert one(spark, f("set_config")("app.name", "v"), f("current_setting")("app.name"), f("current_setting")("app.none", True)) == ("v", "v", None)
+    with pytest.raises(ValueError, match="unrecognized"):
+        f("current_setting")("app.none")
+    raw = F.lit(b"some bytes" * 20)
+    sealed = f("armor")(raw, {"Version": "1", "Comment": "c"})
+    assert one(spark, f("dearmor")(sealed) == raw, f("pgp_armor_headers")(sealed)) == (True, {"Version": "1", "Comment": "c"})
+    with pytest.raises(Exception, match="Corrupt"):
+        spark.range(1).select(f("dearmor")(F.replace(sealed, F.lit("c29t"), F.lit("c29u")))).collect()
+    rows = lambda c: [r[0] for r in spark.range(1).select(c).collect()]
+    assert (rows(f("generate_series")(5, 1, -2)), rows(f("generate_series")(1, 0)), rows(f("string_to_table")(F.lit("a,b"), ","))) == ([5, 3, 1], [], ["a", "b"])
+    assert one(spark, f("to_jsonb")(F.lit("x")), f("unicode_assigned")("ab")) == ('"x"', True)
+
+
 def test_every_function_has_a_name(spark):
     from brindle.functions.registry import function, functions
 
     assert len(functions()) > 300
+    named = "to_json to_jsonb row_to_json current_setting set_config textcat byteacat bitcat hstore_lt vector_ge uuid_ns_dns armor dearmor querytree unnest generate_series regexp_split_to_table each skeys json_array_elements"
+    assert set(named.split()) <= set(functions())
     assert one(spark, function("split_part")(F.lit("a.b"), ".", 2), function("jsonb_typeof")(F.lit("[1]")), function("l2_distance")([0.0, 3.0], [4.0, 0.0])) == ("b", "array", 5.0)
     state = F.array(F.lit(0.0))
     for v in ([1.0, 2.0], [3.0, 6.0]):

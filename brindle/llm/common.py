@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,34 +40,57 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Owns the tables that operators write while it is open, and removes them when it closes.
+
+    Scopes nest, and each owns what is written in it alone.  Outside of any scope tables stay, as results may read
+    them whenever they like.  What is to outlive a scope is written to a ``fresh_path`` before the scope closes.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._before = _OPEN.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.reset(self._before)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+_OPEN: ContextVar[Scratch | None] = ContextVar("open scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends here, and a lost executor
-    costs a read rather than the work before."""
+    costs a read rather than the work before.  The open Scratch owns the table."""
     path = fresh_path(df.sparkSession, name)
+    owner = _OPEN.get()
+    if owner:
+        owner.paths.append(path)
     df.write.parquet(path)
-    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables written so far and not discarded.
-_MADE: list[str] = []
-
-
 def remove(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def discard(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove the tables that operators have written; results that still read them can't be read again.
+#: Bytes of text that are taken from an Arrow batch at once; a longer text comes alone.
+SLICE_BYTES = 4 << 20
 
-    Call it when what the operators returned has been written elsewhere; a table just written is named by ``keep``.
-    """
-    held = set() if keep is None else {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
-    for path in list(_MADE):
-        if not any(h.endswith(path.rsplit("/", 1)[-1]) for h in held):
-            remove(spark, path)
-            _MADE.remove(path)
+
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about ``most`` bytes together; Spark bounds batches by rows only."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, upto = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import free_name, lookup, partitions, written
+from brindle.llm.common import free_name, lookup, partitions, slices, written
 
 SHINGLE = 4
 THRESHOLD = 4
@@ -29,6 +30,8 @@ SEED = 42
 THREE_PIECES = 1 << 26
 #: An anchor with more fingerprints at home is dealt into slices of so many, each met by all that come to the anchor.
 SLICE = 4096
+#: Up to so many crowded anchors are broadcast whole.
+BROADCAST_ANCHORS = 1_000_000
 #: Pairs compared at once.
 PAIRS = 1 << 20
 
@@ -71,23 +74,21 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.nda
     return out
 
 
-def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) for each row."""
+def fingerprinted(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, out: str = "fp", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns ``keep``, by default all) with the fingerprint as a signed long ``out``; a column named so is
+    replaced.  Null and empty texts have fingerprint 0."""
+    keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
+    kept = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, block, size, found = batch.column("text"), [], 0, []
-            for i in range(len(texts)):
-                block.append(texts[i].as_py())
-                size += len(block[-1] or b"")
-                if size > 1 << 21:
-                    found.append(fingerprints_of(block, shingle))
-                    block, size = [], 0
-            found.append(fingerprints_of(block, shingle))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(found).view(np.int64))], names=["id", "fp"])
+            for part in slices(batch, "text", 1 << 21):
+                found = fingerprints_of(part.column("text").to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found.view(np.int64))], names=[*keep, out])
 
-    own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, fp long")
+    # kept columns go under numbers, so that none can clash with the text
+    own = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), F.col(text).cast("string").cast("binary").alias("text"))
+    return own.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.LongType())]))
 
 
 @dataclass(frozen=True)
@@ -225,8 +226,9 @@ def links(distinct: DataFrame, total: int, threshold: int = THRESHOLD) -> DataFr
     n = crowded.count()
     if n:
         # homes go to one slice as such and to the others as visitors
-        crowded = crowded.select("anchor", F.ceil(F.col("count") / SLICE).alias("slices"))
-        rows = rows.join(F.broadcast(crowded) if n <= 1_000_000 else crowded, "anchor", "left")
+        crowded = crowded.select("anchor", F.ceil(F.col("count") / SLICE).alias("slices"), "count")
+        # under 24 bytes an anchor; beyond the bound only those with much of the rows are sent everywhere
+        rows = rows.join(F.broadcast(crowded), "anchor", "left") if n <= BROADCAST_ANCHORS else lookup(rows, crowded, "anchor", "count", parts * total)
         rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("slices"), F.lit(1)).cast("long") - 1)))
         rows = rows.withColumn("home", F.col("home") & (F.col("slices").isNull() | (F.pmod(F.xxhash64("fp"), F.col("slices")) == F.col("slice"))))
     else:
@@ -269,15 +271,20 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(found.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, fingerprint: str | None = None) -> DataFrame:
     """A row for each row of docs: the id column, fp (long), component_id.
 
     Fingerprints link at ``threshold`` or fewer differing bits; component_id is the smallest id of all rows that can
     be reached by links, the row's own included.  Null and empty texts have fingerprint 0, which links like any
     other; texts with fewer words than a shingle are one shingle; rows that repeat an id are linked alike.  Null ids
-    are in components but name none, unless all of a component's ids are null.
+    are in components but name none, unless all of a component's ids are null.  ``fingerprint`` names a column that has
+    the fingerprints already, of a table that can be read several times.
     """
-    rows = written(fingerprints(docs, id=id, text=text, shingle=shingle), "fingerprints")
+    if fingerprint:
+        rows = docs.select(F.col(id).alias("id"), F.col(fingerprint).alias("fp"))
+    else:
+        own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        rows = written(fingerprinted(own, shingle=shingle, keep=["id"]), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     totals = distinct.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     roots = components(links(distinct, totals.fps, threshold))
@@ -288,7 +295,16 @@ def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shing
 
 
 def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component: those with its smallest id.  Null ids all stay."""
-    gone = free_name(docs.columns, "gone")
-    found = near_dedup(docs, id=id, text=text).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias(gone)).distinct()
-    return docs.join(found, F.col(id) == F.col(gone), "left_anti")
+    """The rows of docs that stand for their component: those with its smallest id.
+
+    A row is judged by its id and its own text, so that an id that repeats with another text goes or stays with each
+    text's own component.  Null ids all stay, as do rows that repeat the smallest id; null and empty texts have
+    fingerprint 0 and are one component.  An empty table stays empty.
+    """
+    hash_ = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), hash_.alias("th"))
+    rows = written(fingerprinted(own, keep=["id", "th"]), "fingerprints")
+    found = near_dedup(rows, id="id", fingerprint="fp").filter("id <> component_id").select("id", "fp").distinct()
+    gone, gone_th, own_th = (free_name(docs.columns, x) for x in ("gone", "gone_th", "own_th"))
+    lost = rows.join(found, ["id", "fp"], "left_semi").select(F.col("id").alias(gone), F.col("th").alias(gone_th)).distinct()
+    return docs.withColumn(own_th, hash_).join(lost, (F.col(id) == F.col(gone)) & (F.col(own_th) == F.col(gone_th)), "left_anti").drop(own_th)

@@ -1,28 +1,31 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every task turns its own documents, block by block, into shards: the words become numbers, the places that
-could hold a benchmark passage are kept, and their suffixes are sorted.  Each suffix of each benchmark item is
-then binary-searched in each shard.  Ranges of equal windows give the places, and windows on one diagonal join
-into the longest verbatim matches.  Documents never leave their task, so nothing is shuffled.
+Every task turns its own documents into shards: their words become numbers, and all suffixes of a shard, from
+every word on, are sorted by prefix doubling, as deep as the longest benchmark item can match.  Each suffix of each
+benchmark item is then binary-searched in each shard; its range of places with a whole window in common gives the
+occurrences, and the common prefix there the longest verbatim matches.  Documents never leave their task, so nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import free_name, written
-from brindle.llm.suffix import by_doubling
+from brindle.llm.common import free_name, slices, written
 
 WINDOW = 10
 #: Bytes of text in a shard; a longer document is a shard by itself.
 SHARD_BYTES = 4 << 20
+#: Occurrences that are looked at, at once.
+PAIRS = 1 << 20
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark goes in several rounds.
 ROUND_BYTES = 32 << 20
 
@@ -46,6 +49,29 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
+def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """Start of every suffix, sorted by its first ``depth`` symbols: places that are tied over some length are sorted by
+    the rank of what follows, which doubles the length, until no ties are left or the depth is reached."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    rank, slots, key, length = np.empty(n, np.int64), np.arange(n), text[order], 1
+    while True:
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(head, slots, 0))
+        rank[order[slots]] = first
+        tied = ~head
+        tied[:-1] |= ~head[1:]
+        slots = slots[tied]
+        if length >= depth or not len(slots):
+            return order
+        place = order[slots]
+        after = place + length
+        key = rank[place] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[slots], key = place[by], key[by]
+        length *= 2
+
+
 class Queries:
     """The benchmark's suffixes: all positions at which a window of an item starts."""
 
@@ -53,9 +79,9 @@ class Queries:
         lists = [(str(k), w) for k, text in items if (w := words_of(text))]
         self.names = sorted({k for k, _ in lists})
         number = {k: i for i, k in enumerate(self.names)}
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         flat: list[int] = []
-        starts, lengths, owner, offset = [], [], [], []
+        starts, lengths, owner, offset, ends = [], [], [], [], []
         for k, w in lists:
             size = min(window, len(w))
             for j in range(len(w) - size + 1):
@@ -63,109 +89,104 @@ class Queries:
                 lengths.append(size)
                 owner.append(number[k])
                 offset.append(j)
-            flat += [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w] + [0]
-        # room for comparing a whole window from any place
-        self.flat = np.array(flat + [0] * window, np.int64)
-        self.starts, self.lengths, self.owner, self.offset = (np.array(x, np.int64) for x in (starts, lengths, owner, offset))
-        self.least = int(self.lengths.min()) if lengths else 0
-        first, second = self.flat[:-1], self.flat[1:]
-        both = (first > 0) & (second > 0)
-        self.base = len(self.vocabulary) + 1
-        self.pairs = np.unique(first[both] * self.base + second[both])
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """Which words can lie inside a window: those in runs, long enough, of word pairs that the benchmark has."""
-        if self.least <= 1:
-            return ids > 0
-        key = ids[:-1] * self.base + ids[1:]
-        pair = np.zeros(len(key), bool)
-        some = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        if len(some) and len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, key[some]), len(self.pairs) - 1)
-            pair[some] = self.pairs[at] == key[some]
-        edge = np.flatnonzero(np.diff(np.r_[False, pair, False].astype(np.int8)))
-        begin, end = edge[::2], edge[1::2]
-        long = end - begin >= self.least - 1
-        mark = np.zeros(len(ids) + 1, np.int32)
-        np.add.at(mark, begin[long], 1)
-        np.add.at(mark, end[long] + 1, -1)
-        return np.cumsum(mark[:-1]) > 0
-
-    def search(self, text: np.ndarray, order: np.ndarray, upper: bool) -> np.ndarray:
-        """For each window, how many sorted suffixes of the shard come before it (upper: or start with it)."""
-        low, high = np.zeros(len(self.starts), np.int64), np.full(len(self.starts), len(order), np.int64)
-        live = np.flatnonzero(low < high)
-        while len(live):
-            middle = (low[live] + high[live]) // 2
-            sign = self.compare(text, order[middle], live)
-            before = sign <= 0 if upper else sign < 0
-            low[live[before]] = middle[before] + 1
-            high[live[~before]] = middle[~before]
-            live = live[low[live] < high[live]]
-        return low
+                ends.append(len(flat) + len(w))
+            flat += [vocabulary.setdefault(x, len(vocabulary)) for x in w]
+        self.vocabulary = list(vocabulary)
+        self.flat, self.starts, self.lengths, self.owner, self.offset, self.ends = (np.array(x, np.int64) for x in (flat, starts, lengths, owner, offset, ends))
+        self.depth = max((len(w) for _, w in lists), default=0)
+
+
+class Shard:
+    """A block of documents as numbered words with their suffix array, and the benchmark in the same numbers."""
+
+    def __init__(self, lists: list[list[bytes]], queries: Queries) -> None:
+        self.queries = queries
+        counts = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(counts + 1) - counts - 1
+        words = pa.array(list(chain.from_iterable(lists)), pa.binary()).dictionary_encode()
+        # a 0 after each document and room for a whole window at the end: no match goes on past them
+        self.size = int(counts.sum()) + len(lists)
+        self.text = np.zeros(self.size + queries.depth + 1, np.int64)
+        self.text[np.arange(counts.sum()) + np.repeat(np.arange(len(lists)), counts)] = words.indices.to_numpy(zero_copy_only=False) + 1
+        known = pc.index_in(pa.array(queries.vocabulary, pa.binary()), words.dictionary)
+        # words that the shard lacks are a number that its text lacks
+        self.flat = (pc.fill_null(known, len(words.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)[queries.flat]
+        lacking = np.concatenate([[0], np.cumsum(self.flat > len(words.dictionary))])
+        #: windows all of whose words the shard has
+        self.asked = np.flatnonzero(lacking[queries.starts + queries.lengths] == lacking[queries.starts])
+        if len(self.asked):
+            self.order = suffixes(self.text[: self.size], queries.depth)
 
-    def compare(self, text: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1: the suffix at a place against a window, over the window's length."""
+    def compare(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: the suffix at a place against a benchmark suffix, over a window."""
         sign, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
-        start, length = self.starts[which], self.lengths[which]
+        start, length = self.queries.starts[which], self.queries.lengths[which]
         k = 0
         while len(open_):
             open_ = open_[length[open_] > k]
-            gap = text[at[open_] + k] - self.flat[start[open_] + k]
+            gap = self.text[at[open_] + k] - self.flat[start[open_] + k]
             sign[open_] = np.sign(gap)
             open_ = open_[gap == 0]
             k += 1
         return sign
 
+    def search(self, which: np.ndarray, upper: bool) -> np.ndarray:
+        """For each benchmark suffix, how many sorted suffixes of the shard come before it (upper: or start with its
+        window)."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), self.size, np.int64)
+        live = np.arange(len(which))
+        while len(live):
+            middle = (low[live] + high[live]) // 2
+            sign = self.compare(self.order[middle], which[live])
+            before = sign <= 0 if upper else sign < 0
+            low[live[before]] = middle[before] + 1
+            high[live[~before]] = middle[~before]
+            live = live[low[live] < high[live]]
+        return low
+
+    def matches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Longest verbatim matches: benchmark suffixes, places and lengths, some at a time."""
+        if not len(self.asked):
+            return
+        low = self.search(self.asked, False)
+        which = self.asked[self.compare(self.order[np.minimum(low, self.size - 1)], self.asked) == 0]
+        low = self.search(which, False)
+        n = self.search(which, True) - low
+        which, low, n = which[n > 0], low[n > 0], n[n > 0]
+        upto, q, done = np.cumsum(n), self.queries, 0
+        total = int(upto[-1]) if len(n) else 0
+        while done < total:
+            pair = np.arange(done, min(total, done + PAIRS))
+            done += len(pair)
+            of = np.searchsorted(upto, pair, side="right")
+            place, suffix = self.order[low[of] + pair - (upto - n)[of]], which[of]
+            # a match that goes on to the left is found from there
+            starts = (q.offset[suffix] == 0) | (place == 0) | (self.text[place - 1] != self.flat[q.starts[suffix] - 1])
+            place, suffix = place[starts], suffix[starts]
+            length, room = q.lengths[suffix].copy(), (q.ends - q.starts)[suffix]
+            live = np.arange(len(place))
+            while len(live):
+                live = live[length[live] < room[live]]
+                live = live[self.text[place[live] + length[live]] == self.flat[q.starts[suffix[live]] + length[live]]]
+                length[live] += 1
+            yield suffix, place, length
+
 
 def search_block(lists: list[list[bytes]], queries: Queries) -> list[dict]:
     """The struct HITS for each of a block of documents, given as words."""
-    counts = np.array([len(x) for x in lists], np.int64)
-    out = [{"n_words": int(n), "n_hit": 0, "items": [], "matches": []} for n in counts]
-    if not len(queries.starts) or not counts.sum():
-        return out
-    get = queries.vocabulary.get
-    # a 0 after each document: no run goes on past it
-    ids = np.fromiter(chain.from_iterable(map(get, chain(x, (b"",)), repeat(0)) for x in lists), np.int64, int(counts.sum()) + len(lists))
-    first = np.r_[0, np.cumsum(counts + 1)[:-1]]
-    kept = queries.places(ids)
-    # kept words move together, with a 0 between runs that were apart
-    at = np.flatnonzero(kept)
-    if not len(at):
-        return out
-    breaks = np.r_[0, np.cumsum(np.diff(at) > 1)]
-    size = len(at) + int(breaks[-1]) + queries.lengths.max() + 1
-    text, origin = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    text[np.arange(len(at)) + breaks] = ids[at]
-    origin[np.arange(len(at)) + breaks] = at
-    order = by_doubling(text, int(queries.lengths.max()))
-    # suffixes of the trailing zeros would run out of the array when compared
-    order = order[order < len(at) + int(breaks[-1])]
-    low, high = queries.search(text, order, False), queries.search(text, order, True)
-    found = np.flatnonzero(high > low)
-    if not len(found):
+    out = [{"n_words": len(x), "n_hit": 0, "items": [], "matches": []} for x in lists]
+    if not len(queries.starts) or not any(lists):
         return out
-    n = high[found] - low[found]
-    which = np.repeat(found, n)
-    place = origin[order[np.repeat(low[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-    doc = np.searchsorted(first, place, side="right") - 1
-    size = queries.lengths[which]
-    mark = np.zeros(len(ids) + 1, np.int32)
-    np.add.at(mark, place, 1)
-    np.add.at(mark, place + size, -1)
-    hit = np.add.reduceat(np.cumsum(mark[:-1]) > 0, first, dtype=np.int64)
-    # windows that follow each other in item and document are one match
-    item, j = queries.owner[which], queries.offset[which]
-    base = queries.starts[which] - j
-    by = np.lexsort((j, place - j, base))
-    item, j, place, size, base, doc = (x[by] for x in (item, j, place, size, base, doc))
-    new = np.r_[True, (np.diff(base) != 0) | (np.diff(place - j) != 0) | (np.diff(j) != 1)]
-    head = np.flatnonzero(new)
-    tail = np.r_[head[1:], len(new)] - 1
-    for h, t in zip(head.tolist(), tail.tolist(), strict=True):
-        d = int(doc[h])
-        out[d]["matches"].append({"item_id": queries.names[item[h]], "item_word": int(j[h]), "doc_word": int(place[h] - first[d]), "n_words": int(j[t] + size[t] - j[h])})
-    for d in np.unique(doc).tolist():
+    shard = Shard(lists, queries)
+    mark = np.zeros(shard.size + 1, np.int64)
+    for suffix, place, length in shard.matches():
+        np.add.at(mark, place, 1)
+        np.add.at(mark, place + length, -1)
+        doc = np.searchsorted(shard.first, place, side="right") - 1
+        for d, name, j, p, n in zip(doc.tolist(), queries.owner[suffix].tolist(), queries.offset[suffix].tolist(), (place - shard.first[doc]).tolist(), length.tolist(), strict=True):
+            out[d]["matches"].append({"item_id": queries.names[name], "item_word": j, "doc_word": p, "n_words": n})
+    hit = np.add.reduceat(np.cumsum(mark[:-1]) > 0, shard.first, dtype=np.int64)
+    for d in np.flatnonzero(hit).tolist():
         out[d]["n_hit"] = int(hit[d])
         out[d]["items"] = sorted({m["item_id"] for m in out[d]["matches"]})
         out[d]["matches"].sort(key=lambda m: (m["doc_word"], m["item_id"], m["item_word"]))
@@ -189,18 +210,8 @@ def _scan(text_col: str, out: str, held: object, before: str | None, keep: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = Queries.__new__(Queries)
         queries.__dict__ = held.value
-        for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary())
-            hits: list[dict] = []
-            block, size = [], 0
-            for i in range(len(texts)):
-                raw = texts[i].as_py()
-                block.append(words_of(raw))
-                size += len(raw or "")
-                if size >= SHARD_BYTES:
-                    hits += search_block(block, queries)
-                    block, size = [], 0
-            hits += search_block(block, queries)
+        for batch in (part for whole in batches for part in slices(whole, text_col, SHARD_BYTES)):
+            hits = search_block([words_of(x.as_py()) for x in batch.column(text_col).cast(pa.binary())], queries)
             if before:
                 hits = [_merge(a, b) for a, b in zip(batch.column(before).to_pylist(), hits, strict=True)]
             arrays = [batch.column(c) for c in keep] + [pa.array(hits, _HITS_ARROW)]

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import lookup, partitions, written
+from brindle.llm.common import lookup, partitions, slices, written
 from brindle.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -31,7 +31,7 @@ LENGTH = 400
 ANCHOR = 32
 #: Bytes of text that are looked at, or sorted, at once.
 BLOCK = 1 << 20
-SHARD = 1 << 20
+SHARD = 1 << 21
 #: Anchors with more distinct segments are taken apart, by so many windows at a time.
 CROWD = 256
 STEPS = (16, 1)
@@ -107,7 +107,7 @@ def _signed(hashes: list[int]) -> pa.Array:
 
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [x or b"" for x in batch.column("text").to_pylist()]
             for numbers, offsets, raw, sizes in _blocks(texts, length):
                 ends = np.cumsum(sizes)
@@ -178,7 +178,7 @@ def _shard(length: int):
         digests: list[bytes] = []
         parts: list[bytes] = []
         size, seen = 0, set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "seg")):
             for key, digest, part in zip(batch.column("key").to_pylist(), batch.column("dg").to_pylist(), batch.column("seg").to_pylist(), strict=True):
                 if keys and key != keys[-1]:
                     seen.clear()
@@ -203,7 +203,7 @@ def _split(length: int, step: int):
     key is what all windows of such a run have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "seg")):
             columns = {k: [] for k in ("key", "dg", "off", "nw", "a")}
             rows = []
             for i, (key, seg, a) in enumerate(zip(batch.column("key").to_pylist(), batch.column("seg").to_pylist(), batch.column("a").to_pylist(), strict=True)):
@@ -261,8 +261,15 @@ def _settle(units: DataFrame, segments, length: int, steps: tuple[int, ...], lev
 
 
 def _merged(found: DataFrame, name: str) -> DataFrame:
-    """One row for each segment; a segment has fewer ranges than windows, and those are fewer than a window's bytes."""
-    return written(found.groupBy("key", "dg").agg(F.flatten(F.collect_set("ranges")).alias("ranges")), name)
+    """One row for each segment, with its ranges joined where they touch: maximal ones, in order."""
+
+    def join(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
+        return F.when(F.size(done) == 0, F.array(r)).when(r["s"] <= last["e"] + 1, longer).otherwise(F.concat(done, F.array(r)))
+
+    ranges = F.aggregate(F.array_sort(F.flatten(F.collect_set("ranges"))), F.array().cast(RANGES), join)
+    return written(found.groupBy("key", "dg").agg(ranges.alias("ranges")), name)
 
 
 def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -288,14 +295,14 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     sizes = units.select(unit, F.col("n").alias("rows"))
     status = written(found.select(unit, "ranges").join(sizes, "unit"), "status")
     hits = lookup(runs.select(unit, "id", "th", "p"), status, "unit", "rows", runs.count(), "inner")
-    spans = hits.select("id", "th", F.explode("ranges").alias("r"), "p").select("id", "th", F.struct((F.col("p") + F.col("r.s")).alias("s"), (F.col("p") + F.col("r.e") + length).alias("e")).alias("span"))
-    return spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
+    moved = F.transform("ranges", lambda r: F.struct((F.col("p") + r["s"]).alias("s"), (F.col("p") + r["e"] + length).alias("e")))
+    return hits.select("id", "th", moved.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _apply(numbers: list[str], keep: list[str], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("kept", pa.binary())])
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
             texts, spans = batch.column("text"), batch.column("spans")
             for i in range(len(texts)):

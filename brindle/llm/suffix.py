@@ -1,36 +1,27 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in array operations.
 
-The passes of induced sorting go bucket by bucket: all entries of a bucket that are known put their predecessors
-into later buckets at once, in order; predecessors in the same bucket, that is, runs of one symbol, are a further
-round of that bucket.  So a pass takes a few array operations a bucket instead of a few steps a symbol.
+The passes of induced sorting go over the buckets in order, a stretch of them at a time.  All entries of a stretch
+put their predecessors into their buckets at once, in order.  A predecessor that belongs in a later bucket of the
+stretch itself ends the stretch there; predecessors in the same bucket, that is, runs of one symbol, are laid out
+from the run's end.  So a pass takes few array operations, for small alphabets and for the large ones of the
+recursion alike, and its sorts are by counting.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Recursion goes on while a symbol has at least so many places on average; with more symbols than that, nearly all
-#: names differ and doubling the sorted length ends after a few rounds.
-PLACES = 64
+#: Entries that a stretch of buckets holds at first; it grows while stretches succeed.
+STRETCH = 64
 
 
-def by_doubling(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Start of every suffix, sorted by its first ``depth`` symbols, by default whole."""
-    n = len(text)
-    depth = n if depth is None else depth
-    rank, length = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while length < depth and n > 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - length)] = rank[length:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
-        if rank[order[-1]] == n - 1:
-            break
-        length *= 2
+def radix_order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of non-negative integers, by 16 bits at a time: numpy sorts those by counting."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    top, shift = int(keys.max()) if len(keys) else 0, 16
+    while top >> shift:
+        order = order[np.argsort(((keys[order] >> shift) & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
     return order
 
 
@@ -44,53 +35,94 @@ def _small(text: np.ndarray) -> np.ndarray:
     return np.r_[step[np.minimum(after, n - 1)] > 0, True] if n else np.array([True])
 
 
-def _place(out: np.ndarray, edge: np.ndarray, places: np.ndarray, symbols: np.ndarray, down: bool) -> None:
-    """Put places into their symbols' buckets, one after another from each bucket's edge."""
-    by = np.argsort(symbols, kind="stable")
-    sorted_ = symbols[by]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    n = np.diff(np.r_[first, len(sorted_)])
-    rank = np.arange(len(sorted_)) - np.repeat(first, n)
-    kinds = sorted_[first]
-    if down:
-        out[edge[sorted_] - rank] = places[by]
-        edge[kinds] -= n
-    else:
-        out[edge[sorted_] + rank] = places[by]
-        edge[kinds] += n
+def _pass(text: np.ndarray, out: np.ndarray, wanted: np.ndarray, run: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray, buckets: np.ndarray, step: int) -> None:
+    """One pass over the buckets, which come in the pass's order: upward (step 1) or downward (-1).
+
+    Whatever precedes an entry and is ``wanted`` goes to the edge of its symbol's bucket; places not filled yet hold
+    -1.  ``run`` says how many equal symbols end at a place.
+    """
+    weight = np.cumsum((end - start)[buckets])
+    in_runs = np.zeros(len(start), bool)
+    in_runs[text[run > 1]] = True
+    alone = np.flatnonzero(in_runs[buckets])
+    stops = [*alone.tolist(), len(buckets)]
+    at, stretch, next_stop = 0, STRETCH, 0
+    while at < len(buckets):
+        past = int(weight[at - 1]) if at else 0
+        if stops[next_stop] == at:
+            # a bucket with runs: its entries so far end them; what is further from a run's end comes later
+            next_stop += 1
+            c = int(buckets[at])
+            known = out[start[c] : edge[c]] if step > 0 else out[end[c] - 1 : edge[c] : -1]
+            length = run[known]
+            if len(known) and length.max() > 1:
+                member = np.repeat(np.arange(len(known)), length)
+                back = np.arange(len(member)) - np.repeat(np.cumsum(length) - length, length)
+                by = radix_order(back)
+                known = known[member[by]] - back[by]
+                if step > 0:
+                    out[start[c] : start[c] + len(known)] = known
+                else:
+                    out[end[c] - len(known) : end[c]] = known[::-1]
+                edge[c] = start[c] + len(known) if step > 0 else end[c] - 1 - len(known)
+            last, to = c, at + 1
+        else:
+            to = min(stops[next_stop], max(at + 1, int(weight.searchsorted(past + stretch, side="right"))))
+            last = int(buckets[to - 1])
+        low, high = (int(start[buckets[at]]), int(end[last])) if step > 0 else (int(start[last]), int(end[buckets[at]]))
+        entries = out[low:high] if step > 0 else out[low:high][::-1]
+        which = (entries > 0).nonzero()[0]
+        before = entries[which] - 1
+        good = wanted[before].nonzero()[0]
+        before = before[good]
+        lands = text[before].astype(np.int32)
+        if to == at + 1:
+            other = (lands != last).nonzero()[0]
+            lands, before = lands[other], before[other]
+        elif len(lands):
+            clash = int(lands.min()) if step > 0 else int(lands.max())
+            if clash <= last if step > 0 else clash >= last:
+                # that bucket isn't complete yet, so the stretch ends before it
+                room = int(start[clash]) - low if step > 0 else high - int(end[clash])
+                n = int(which[good].searchsorted(room))
+                before, lands = before[:n], lands[:n]
+                to = at + int((buckets[at:to] * step).searchsorted(clash * step))
+                stretch = max(STRETCH, 2 * (int(weight[to - 1]) - past))
+            else:
+                stretch *= 2
+        else:
+            stretch *= 2
+        at = to
+        if len(before):
+            by = radix_order(lands)
+            lands = lands[by]
+            head = np.concatenate([_ZERO, (lands[1:] != lands[:-1]).nonzero()[0] + 1])
+            n = np.concatenate([head[1:], [len(lands)]]) - head
+            kinds = lands[head]
+            out[(edge[kinds] - step * head).repeat(n) + step * np.arange(len(lands))] = before[by]
+            edge[kinds] += step * n
+
+
+_ZERO = np.zeros(1, np.int64)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All suffixes sorted, from the leftmost-smaller ones (``stars``) in order: first the larger ones, from the
     left, then the smaller ones, from the right."""
-    out = np.empty(len(text), np.int64)
-    star_symbol = text[stars]
-    star_from, star_to = np.searchsorted(star_symbol, [np.arange(len(start)), np.arange(len(start)) + 1])
-    head, tail = start.copy(), end - 1
-    symbols = np.flatnonzero(end > start)
-
-    def put(places: np.ndarray, want_small: bool, edge: np.ndarray) -> None:
-        before = places - 1
-        before = before[places > 0]
-        before = before[small[before] == want_small]
-        if len(before):
-            _place(out, edge, before, text[before], want_small)
-
-    for c in symbols:
-        done = start[c]
-        while done < head[c]:
-            done, now = head[c], out[done : head[c]].copy()
-            put(now, False, head)
-        if star_to[c] > star_from[c]:
-            put(stars[star_from[c] : star_to[c]], False, head)
-    for c in symbols[::-1]:
-        done = end[c] - 1
-        while done > tail[c]:
-            done, now = tail[c], out[tail[c] + 1 : done + 1][::-1].copy()
-            put(now, True, tail)
-        if head[c] > start[c]:
-            put(out[start[c] : head[c]][::-1].copy(), True, tail)
-    out[0] = len(text) - 1
+    n = len(text)
+    out = np.full(n, -1, np.int32)
+    places = np.arange(n, dtype=np.int32)
+    run = places - np.maximum.accumulate(np.where(np.concatenate([[True], text[1:] != text[:-1]]), places, 0)) + 1
+    used = np.flatnonzero(end > start)
+    # leftmost-smaller suffixes stand at the ends of their buckets until the larger ones are in
+    edges = np.searchsorted(text[stars], np.arange(len(start) + 1))
+    of = text[stars].astype(np.int64)
+    at = end[of] - edges[of + 1] + np.arange(len(stars))
+    out[at] = stars
+    _pass(text, out, ~small, run, start, end, start.copy(), used, 1)
+    out[at] = -1
+    _pass(text, out, small, run, start, end, end - 1, used[::-1], -1)
+    out[0] = n - 1
     return out
 
 
@@ -105,7 +137,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     end = np.cumsum(size)
     start = end - size
     # leftmost-smaller substrings, sorted by inducing from their first symbols
-    order = _induce(text, small, stars[np.argsort(text[stars], kind="stable")], start, end)
+    order = _induce(text, small, stars[radix_order(text[stars].astype(np.int64))], start, end)
     is_star = np.zeros(n, bool)
     is_star[stars] = True
     order = order[is_star[order]]
@@ -126,8 +158,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if len(order) and name[-1] + 1 < len(order):
         reduced = np.empty(len(stars), np.int64)
         reduced[i] = name
-        deep = suffix_array if len(reduced) >= PLACES * (int(name[-1]) + 1) else by_doubling
-        order = stars[deep(reduced)]
+        order = stars[suffix_array(reduced)]
     return _induce(text, small, order, start, end)
 
 

@@ -7,6 +7,7 @@ A text gets its expected grade and the probability of a grade over a chosen one,
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,28 +18,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import labelled_sample
+from brindle.llm.common import labelled_sample, slices
 
 #: At most about so many rated rows are fitted on, chosen by hash of the id; see fit().
 SAMPLE_ROWS = 8_000
 BITS = 18
-#: Rounds of the fit and its penalty on weights.
-ROUNDS, PENALTY = 200, 1e-3
-#: Features in a smaller share of the rows get no weight.
-LEAST_SHARE = 0.03
-#: A word's or shape's share of a text counts up to this, so that one word said over and over doesn't decide.
-MOST_SHARE = 0.02
+#: Rounds of the fit.
+ROUNDS = 200
 #: Distinct words that a task remembers the features of.
-MEMORY = 300_000
+MEMORY = 100_000
 SELECT = 0.5
 
 #: Lower case letters, zeros for digits, a letter for each byte that isn't ASCII: what a word looks like.
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 SCORE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Chosen by cross-validation between the two training folds; see selection.py."""
+
+    penalty: float = 1e-3  # on weights
+    least_share: float = 0.03  # features in a smaller share of the rows get no weight
+    most_share: float = 0.02  # a word's or shape's share of a text counts up to this, so that one word said over and over doesn't decide
+
+
 def _bucket(name: bytes) -> int:
     return zlib.crc32(name) & ((1 << BITS) - 1)
 
@@ -49,13 +56,12 @@ class Memory(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        shape = word[:64].translate(_SHAPE)
-        squeezed = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])
+        squeezed = _RUN.sub(rb"\1", word.translate(_SHAPE))
         self[word] = found = _bucket(b"w " + word.translate(_LOWER)) << BITS | _bucket(b"s " + squeezed)
         return found
 
 
-def features_of(raw: bytes | None, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+def features_of(raw: bytes | None, memory: Memory, most_share: float = Settings.most_share) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a text: shares of its words and shapes, of words said again at once and of words used
     before, and its length in powers of two."""
     words = (raw or b"").split()
@@ -66,7 +72,7 @@ def features_of(raw: bytes | None, memory: Memory) -> tuple[np.ndarray, np.ndarr
     both = np.fromiter(map(memory.__getitem__, words), np.int64, n)
     buckets, counts = np.unique(np.concatenate([both >> BITS, both & ((1 << BITS) - 1)]), return_counts=True)
     rest = [(b"again", float((both[1:] == both[:-1]).sum()) / n), (b"known", 1 - len(set(words)) / n)]
-    return np.r_[buckets, [_bucket(k) for k, _ in rest], length], np.r_[np.minimum(counts / n, MOST_SHARE), [v for _, v in rest], 0.25]
+    return np.r_[buckets, [_bucket(k) for k, _ in rest], length], np.r_[np.minimum(counts / n, most_share), [v for _, v in rest], 0.25]
 
 
 @dataclass
@@ -85,7 +91,7 @@ class Model:
         return self.grades[0] + over @ steps, over
 
 
-def fit_matrix(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model:
+def fit_matrix(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, settings: Settings = Settings()) -> Model:
     """Fit on hashed rows and their grades.  One grade alone, or none, gives a model that says that grade."""
     kinds = sorted(set(grades.tolist()))
     weights = np.zeros(1 << BITS)
@@ -95,7 +101,7 @@ def fit_matrix(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) ->
     size = np.array([len(b) for b, _ in rows])
     buckets, values = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(len(rows)), size)
-    held = np.bincount(buckets, minlength=1 << BITS) >= LEAST_SHARE * len(rows)
+    held = np.bincount(buckets, minlength=1 << BITS) >= settings.least_share * len(rows)
     buckets, values, row = buckets[held[buckets]], values[held[buckets]], row[held[buckets]]
     used, column = np.unique(buckets, return_inverse=True)
     # features on one scale
@@ -114,7 +120,7 @@ def fit_matrix(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) ->
         t = free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))]
         p = 1 / (1 + np.exp(-np.clip(x[:, None] - t, -40, 40)))
         miss = (p - passed) / len(rows)
-        gw = np.bincount(column, values * miss.sum(1)[row], len(w)) + PENALTY * w
+        gw = np.bincount(column, values * miss.sum(1)[row], len(w)) + settings.penalty * w
         gt = -miss.sum(0)
         gf = np.r_[gt.sum(), [gt[k + 1 :].sum() * np.exp(free[k + 1]) for k in range(len(free) - 1)]]
         g = np.r_[gw, gf]
@@ -129,8 +135,8 @@ def fit_matrix(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) ->
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = Memory()
-    for batch in batches:
-        rows = [features_of(t, memory) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    for batch in (part for whole in batches for part in slices(whole, "text")):
+        rows = [features_of(t.as_py(), memory) for t in batch.column("text").cast(pa.binary())]
         arrays = [pa.array([b.astype(np.int32).tobytes() for b, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary()), batch.column("label")]
         yield pa.RecordBatch.from_arrays(arrays, names=["buckets", "values", "label"])
 

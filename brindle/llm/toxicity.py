@@ -20,23 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import labelled_sample, written
+from brindle.llm.common import labelled_sample, slices, written
 
 #: At most about so many labelled rows are fitted on, chosen by hash of the id; see fit().
 SAMPLE_ROWS = 20_000
 #: Lengths in characters of the word beginnings that count as features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Pseudo-documents that the prior adds to each feature.
-PRIOR = 2.0
-#: Features with a z-score under this one don't count.
-LEAST_Z = 4.5
-#: What a word without evidence scores.
-DRIFT = -0.03
+HEAD = BEGINNINGS[0]
 #: Of training texts that share a least hash of so many words in a row, under any of so many hashes, one counts: or
 #: else every word that near copies share would look significant.
 SHINGLE, HASHES = 5, 3
 #: Distinct words that a task remembers the score of.
-MEMORY = 500_000
+MEMORY = 50_000
+#: Distinct features that a task counts before it passes the counts on.
+COUNTED = 200_000
 THRESHOLD = 0.7
 #: Passages that chance makes more often than so many times in a text aren't significant.
 MOST_CHANCE = 0.05
@@ -52,6 +49,21 @@ SCORE = T.StructType(
 _SCORE_ARROW = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("evidence", pa.float64()), ("e_value", pa.float64())])))])
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Chosen by cross-validation between the two training folds; see selection.py."""
+
+    prior: float = 2.0  # pseudo-documents that the prior adds to each feature
+    most_z: float = 4.5  # features need this z-score, or less if there are few toxic texts to reach it with
+    first_z: float = 2.2  # what they need if one text is toxic, and how much more for e times as many
+    z_step: float = 0.46
+    drift: float = -0.01  # what a word without evidence scores
+    power: float = 0.5  # the rarer class weighs as the ratio of the classes to this power
+
+    def least_z(self, toxic: int) -> float:
+        return min(self.most_z, self.first_z + self.z_step * math.log(max(toxic, 1)))
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     raw = text.encode() if isinstance(text, str) else text or b""
     return raw.translate(_FOLD).split()
@@ -71,10 +83,11 @@ class Model:
     size: float  # its log K
     slope: float
     offset: float
+    drift: float = Settings.drift
 
     def word_score(self, word: bytes) -> float:
         best = max((f for f in features_of(word) if f in self.odds), key=lambda f: (abs(self.z[f]), f), default=None)
-        return DRIFT if best is None else self.odds[best] + DRIFT
+        return self.drift if best is None else self.odds[best] + self.drift
 
     def surprise(self, segment: float, n_words: int) -> float:
         """Log-odds scale of how unlikely the best segment of a clean text is to score so high."""
@@ -118,15 +131,16 @@ def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Memory(dict):
-    """Scores of the words seen so far."""
+    """Scores of the words seen so far.  Words that don't begin as any significant feature are told at once."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.heads = model, {f[:HEAD] for f in model.odds}
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = score = self.model.word_score(word)
+        known = (word.decode("utf-8", "replace").lower() + " ")[:HEAD] in self.heads
+        self[word] = score = self.model.word_score(word) if known else self.model.drift
         return score
 
 
@@ -134,20 +148,20 @@ def scored(words: list[bytes], memory: Memory) -> list[tuple[int, int, float]]:
     return segments_of(np.fromiter(map(memory.__getitem__, words), float, len(words)))
 
 
-def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
+def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, other: int, settings: Settings = Settings()) -> tuple[dict[str, float], dict[str, float]]:
     """Significant features from (feature, toxic documents, other documents), and their z-scores."""
     odds, zs = {}, {}
-    share = toxic / (toxic + other)
+    share, prior, least_z = toxic / (toxic + other), settings.prior, settings.least_z(toxic)
     for f, y1, y0 in counts:
-        a1, a0 = y1 + PRIOR * share, y0 + PRIOR * (1 - share)
-        delta = math.log(a1 / (toxic + PRIOR - a1)) - math.log(a0 / (other + PRIOR - a0))
+        a1, a0 = y1 + prior * share, y0 + prior * (1 - share)
+        delta = math.log(a1 / (toxic + prior - a1)) - math.log(a0 / (other + prior - a0))
         z = delta / math.sqrt(1 / a1 + 1 / a0)
-        if z >= LEAST_Z:
+        if z >= least_z:
             odds[f], zs[f] = delta, z
     return odds, zs
 
 
-def calibrate(odds: dict[str, float], zs: dict[str, float], best: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> Model:
+def calibrate(odds: dict[str, float], zs: dict[str, float], best: np.ndarray, n: np.ndarray, toxic: np.ndarray, settings: Settings = Settings()) -> Model:
     """Extreme-value law of the clean documents' best segments, then the logistic curve.
 
     best: each training document's best segment score, n: its words.  With scores S, S - ln(n) / lambda follows a
@@ -164,8 +178,8 @@ def calibrate(odds: dict[str, float], zs: dict[str, float], best: np.ndarray, n:
     centre, width = float(x.mean()), max(float(x.std()), 1e-9)
     u = (x - centre) / width
 
-    # the rarer class weighs more, by the root of the ratio: a missed toxic text costs more than a clean one kept out
-    weight = np.where(toxic, math.sqrt(max((~toxic).sum(), 1) / max(toxic.sum(), 1)), 1.0)
+    # the rarer class weighs more: a missed toxic text costs more than a clean one kept out
+    weight = np.where(toxic, (max((~toxic).sum(), 1) / max(toxic.sum(), 1)) ** settings.power, 1.0)
 
     def loss(b: np.ndarray) -> float:
         return float((weight * np.logaddexp(0, (1 - 2 * y) * (b[0] * u + b[1]))).sum() + 0.05 * (b @ b))
@@ -183,25 +197,34 @@ def calibrate(odds: dict[str, float], zs: dict[str, float], best: np.ndarray, n:
         if abs(step).max() < 1e-9:
             break
     slope = max(float(beta[0]) / width, 1e-6)
-    return Model(odds, zs, decay, size, slope, float(beta[1]) - slope * centre)
+    return Model(odds, zs, decay, size, slope, float(beta[1]) - slope * centre, settings.drift)
+
+
+def _counts(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "other"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, list[int]] = {}
-    for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            for f in {f for w in set(words_of(text)) for f in features_of(w)}:
+    for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
+        for text, toxic in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            for f in {f for w in set(words_of(text.as_py())) for f in features_of(w)}:
                 counts.setdefault(f, [0, 0])[toxic] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "other"])
+            if len(counts) > COUNTED:
+                yield _counts(counts)
+                counts.clear()
+    yield _counts(counts)
+
+
+def least_hashes(words: list[bytes]) -> list[int]:
+    """The least hash of SHINGLE words in a row, under each of HASHES hashes."""
+    runs = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    return [min(xxhash.xxh64_intdigest(r, seed) for r in runs) >> 1 for seed in range(HASHES)]
 
 
 def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            words = words_of(text)
-            runs = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
-            rows.append([min(xxhash.xxh64_intdigest(r, seed) for r in runs) >> 1 for seed in range(HASHES)])
+    for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
+        rows = [least_hashes(words_of(text.as_py())) for text in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], names=["sha", "label", "least"])
 
 
@@ -233,11 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(Model(*held.value, 1.0, 0.0, 1.0, 0.0))
         for batch in batches:
-            lists = [words_of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            best = [max((s for _, _, s in scored(w, memory)), default=0.0) for w in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array([len(w) for w in lists], pa.int64()), batch.column("label")], names=["best", "n", "label"])
+            best, n = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                words = words_of(text.as_py())
+                best.append(max((s for _, _, s in scored(words, memory)), default=0.0))
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), batch.column("label")], names=["best", "n", "label"])
 
     found = rows.mapInArrow(best_of, "best double, n long, label int").toPandas().sort_values(["best", "n", "label"])
+    held.destroy()
     return calibrate(odds, zs, found.best.to_numpy(), found.n.to_numpy(), found.label.to_numpy() == 1)
 
 
@@ -253,7 +280,7 @@ def with_score(docs: DataFrame, model: Model, *, text: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**held.value)
         memory = Memory(own)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             found = []
             texts = batch.column(text).cast(pa.binary())
             for i in range(len(texts)):

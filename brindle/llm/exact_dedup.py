@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index.
 
 The index is a table of one row for each distinct text, bucketed by its SHA-256 and sorted within the buckets.
-A batch of new rows is digested, pre-aggregated by digest, sort-merge anti-joined with the index, whose side of
-the join needs neither shuffle nor sort, and what is new is appended.
+A batch of new rows is digested, pre-aggregated by digest, sort-merge anti-joined with the index and what is new is
+appended.  The index is never shuffled.  While a bucket is one file its side of the join needs no sort either; after
+several batches the files of a bucket are sorted together as they are read, until compact() makes them one again.
 """
 
 from __future__ import annotations
@@ -43,6 +44,14 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         remove(self.spark, self.path)
 
+    def compact(self) -> None:
+        """Make each bucket one sorted file again, under a new path; the old files go."""
+        old, self.path = self.path, fresh_path(self.spark, "digest_index")
+        rows = written(self.entries(), "entries")
+        self.spark.sql(f"DROP TABLE {self.table}")
+        self._append(rows)
+        remove(self.spark, old)
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 

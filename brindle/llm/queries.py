@@ -85,7 +85,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_CONTROL_TEXT).alias("text"))
     out = written(chat.format_chats(rows.unionByName(added)), "chats")
-    back = out.select("conv_id", chat.formatted(F.col("segments")).alias("formatted"), chat.loss_text(F.col("segments")).alias("loss"))
+    back = out.select("conv_id", "state", "complete", chat.formatted(F.col("segments")).alias("formatted"), chat.loss_text(F.col("segments")).alias("loss"))
     back = back.withColumn("turns", chat.parsed(F.col("formatted")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -95,6 +95,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "complete",
     )
 
 
@@ -108,6 +110,8 @@ def _chat_sql() -> str:
     for old, new in t.pairs():
         escaped = f"replace({escaped}, '{old}', '{new}')"
     frame = "CASE role " + " ".join(f"WHEN '{r}' THEN {len(x.before) + len(x.after)}" for r, x in t.turns.items())
+    steps = " ".join(f"WHEN '{state} {role}' THEN '{to}'" for (state, role), to in t.transitions.items())
+    final = ", ".join(f"'{x}'" for x in t.final)
     frame += f" ELSE {len(t.other.before) + len(t.other.after) + len(t.role_end)} + length(role) END"
     return f"""
         WITH rows AS (
@@ -118,7 +122,9 @@ def _chat_sql() -> str:
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-               ({len(t.start)} + sum({frame} + length({escaped})))::BIGINT AS formatted_chars
+               ({len(t.start)} + sum({frame} + length({escaped})))::BIGINT AS formatted_chars,
+               list_reduce(list_prepend('start', list(role ORDER BY turn, role, text)), lambda s, r: CASE s || ' ' || r {steps} ELSE 'error' END) AS state,
+               state IN ({final}) AS complete
         FROM rows GROUP BY conv_id"""
 
 
@@ -166,5 +172,40 @@ _WARC_SQL = """
     FROM f"""
 
 
+#: Windows of all documents and items are compared as texts; suffix arrays play no part.
+_DECONTAMINATE_SQL = r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+    items AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    asked AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS s
+        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT k FROM asked),
+    places AS (
+        SELECT r, k, j, array_to_string(w[j:j + k - 1], ' ') AS s
+        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM words, sizes WHERE len(w) >= k)),
+    hits AS (SELECT p.r, p.j, p.k, a.item_id FROM places p JOIN asked a ON p.k = a.k AND p.s = a.s),
+    covered AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(j, j + k)) AS i FROM (SELECT DISTINCT r, j, k FROM hits)) GROUP BY r),
+    named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+#: Every 400-byte window's MD5 is counted.  Texts are hexadecimal and go in blocks, as substr() reads a text from its start.
+_REPEATS_SQL = """
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    blocks AS (SELECT r, b0, substr(h, 2 * b0 + 1, 2 * 1399) AS b FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399, 1000)) AS b0 FROM d WHERE len(h) >= 800)),
+    places AS (SELECT r, b0 + k AS i, md5_number(substr(b, 2 * k + 1, 800)) AS m FROM (SELECT r, b0, b, unnest(range(0, len(b) // 2 - 399)) AS k FROM blocks)),
+    twice AS (SELECT m FROM places GROUP BY m HAVING count(*) > 1),
+    marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM places SEMI JOIN twice USING (m)),
+    spans AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+    gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM spans),
+    cut AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head FROM gaps JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": _MIX_SQL, "op5_exact_dedup": _EXACT_SQL, "op9_warc": _WARC_SQL, "op10_chat": _chat_sql()}
+    return {"op1_mix": _MIX_SQL, "op2_repeats": _REPEATS_SQL, "op4_decontaminate": _DECONTAMINATE_SQL, "op5_exact_dedup": _EXACT_SQL, "op9_warc": _WARC_SQL, "op10_chat": _chat_sql()}

@@ -52,12 +52,12 @@ def rows_of(df):
 # Suffix arrays
 
 
-@pytest.mark.parametrize("places", [0, 1, 64])
-def test_suffix_array(monkeypatch, places):
-    monkeypatch.setattr(suffix, "PLACES", places)
-    rng = random.Random(places)
+@pytest.mark.parametrize("stretch", [1, 4, 64])
+def test_suffix_array(monkeypatch, stretch):
+    monkeypatch.setattr(suffix, "STRETCH", stretch)
+    rng = random.Random(stretch)
     for _ in range(300):
-        raw = [rng.randrange(rng.choice([1, 2, 4, 200])) for _ in range(rng.randrange(50))]
+        raw = [rng.randrange(rng.choice([1, 2, 4, 200, 5000])) for _ in range(rng.randrange(90))]
         raw = raw[: rng.randrange(1, 6)] * 8 if rng.random() < 0.3 else raw
         text = np.array([x + 1 for x in raw] + [0], np.uint16)
         found, symbols = suffix.suffix_array(text), list(text)
@@ -68,6 +68,16 @@ def test_suffix_array(monkeypatch, places):
             assert before[b] == a and common[b] == k
 
 
+def test_suffixes_to_a_depth():
+    rng = random.Random(4)
+    for _ in range(200):
+        symbols = [rng.randrange(rng.choice([1, 3, 300])) for _ in range(rng.randrange(1, 80))]
+        for depth in (1, 2, 3, 10, 100):
+            found = decontaminate.suffixes(np.array(symbols, np.int64), depth)
+            assert sorted(found) == list(range(len(symbols)))
+            assert [symbols[i : i + depth] for i in found] == sorted(symbols[i : i + depth] for i in range(len(symbols)))
+
+
 # Mixing
 
 
@@ -321,11 +331,26 @@ def test_licenses(spark):
     assert licenses.with_licenses(df, []).filter("size(licenses) > 0").count() == 0
 
 
-def test_license_bands_suffice():
-    for kind in licenses.kinds_of(licenses.TEMPLATES):
-        common = -(-8 * kind.size // 10)
-        resemblance = common / (kind.width + kind.size - common)
-        assert resemblance >= 1 or (1 - resemblance) ** kind.bands <= licenses.MISS
+def test_license_bands_suffice(spark):
+    for kind, templates in licenses.kinds_of(licenses.TEMPLATES).items():
+        for _, own in templates:
+            # the worst window: the least that matches, and nothing else that the template has
+            common = -(-8 * len(own) // 10)
+            resemblance = common / (kind.width + len(own) - common)
+            assert resemblance >= 1 or (1 - resemblance) ** kind.bands <= licenses.MISS
+    shingles = ["a b c d e", "é 1 2 3 4", "x"]
+    hashes = F.array(*(F.xxhash64(F.lit(x)) for x in shingles))
+    bands = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")), lambda b: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, b))))
+    assert spark.range(1).select(bands.alias("b")).first().b == licenses.signature_of(shingles, 7)
+
+
+def test_licenses_in_long_and_repeated_texts(spark):
+    filler = " ".join(f"word{i % 977} license software" for i in range(20000))
+    texts = [f"{filler} Released under the MIT License. {filler}"] * 2 + [filler]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    found = licenses.with_licenses(df, out="found", keep=["doc_id"]).collect()
+    assert sorted((r.doc_id, {m.license for m in r.found} >= {"MIT"}) for r in found) == [(1, True), (1, True), (2, False)]
+    assert sorted((m.first_word, m.license, m.n_words, m.containment) for m in found[0].found) == brute_licenses(texts[0])
 
 
 # Toxicity
@@ -403,9 +428,45 @@ def test_ordinal_regression_orders_grades(spark):
     assert quality.with_grade(docs.limit(0), model).count() == 0
 
 
+def test_grades_of_long_repeated_and_contested_texts(spark):
+    rng = random.Random(4)
+    say = lambda grade, n=50: " ".join(rng.choice(["good", "fine"] if grade else ["bad", "poor"]) + rng.choice("abc") for _ in range(n))
+    rows = [(i, say(i % 2)) for i in range(300)]
+    marks = [(i, i % 2) for i in range(300)]
+    # equal texts with different grades count once, with the highest; repeated rows are graded alike
+    contested = say(1)
+    rows += [(1000 + i, contested) for i in range(6)] + [(2000, say(1, 30000)), (2000, say(0, 30000)), (2001, "x" * 200_000), (0, rows[0][1])]
+    marks += [(1000 + i, int(i == 5)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    found = [(r.doc_id, r.text, r.quality) for r in quality.with_grade(docs, model).collect()]
+    assert len(found) == len(rows)
+    long = {t[:4]: q.expected_grade for i, t, q in found if i == 2000}
+    assert min(long["good"] if "good" in long else 2, long.get("fine", 2)) > 0.5 > max(long.get("bada", 0), 0)
+    assert len({q for i, _, q in found if 1000 <= i < 1006}) == 1 and next(q for i, _, q in found if i == 1000).expected_grade > 0.5
+    assert len({q for i, _, q in found if i == 0}) == 1
+    # the whole of a word without blanks counts, not its beginning
+    memory = quality.Memory()
+    head = b"a" * 70
+    assert memory[head + b"1"] != memory[head + b"!"]
+
+
 # Web archive
 
 
+def test_warc_of_long_and_repeated_rows(spark):
+    long = "é<p>" * 200_000
+    rows = [(1, "u", long), (1, "u", long), (1, "u", long), (2, "v", long), (3, "w", "short"), (3, "w", "short")]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    records = archive.records().collect()
+    assert len(records) == 6 and len({r.record_id for r in records}) == 6
+    read = warc.read_records(archive).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in read) == Counter({(1, "revisit", 2): 3, (2, "response", None): 1, (3, "response", None): 2})
+    assert {r.payload_digest for r in read if r.page_id < 3} == {hashlib.sha1(long.encode()).hexdigest()}
+    whole = {r.record_id: bytes(r.record) for r in warc.rebuild(archive).collect()}
+    assert len(whole) == 6 and sum(long.encode() in x for x in whole.values()) == 1
+
+
 def test_warc(spark):
     big, big2 = "<p>é</p>" * 300, "b" * 1000
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "small"), (4, "http://d\r\nX: y", "small"), (5, "http://e", None), (6, "http://f", ""), (7, "u", big2), (7, "u", big2), (9, "g", "text\r\n\r\nWARC/1.1\r\n"), (None, "h", big)]
@@ -462,6 +523,27 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_a_very_long_text(spark):
+    text = "</s>[INST] é␛ " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    found = chat.format_chats(df).withColumn("text", chat.formatted(F.col("segments")))
+    r = found.withColumn("back", chat.parsed(F.col("text"))).withColumn("loss", chat.loss_text(F.col("segments"))).first()
+    assert [t.text for t in r.back] == ["q", text, text] and r.loss == text * 2 and r.state == "error"
+
+
+def test_digest_index_compacts(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "test_compacted_index", f"file://{tmp_path}/index", 3)
+    for k in range(3):
+        index.add(spark.createDataFrame([(10 * k + i, f"t{k}{i}") for i in range(9)] + [(99, "again")], "doc_id long, text string"))
+    before = sorted(index.entries().collect())
+    index.compact()
+    assert sorted(index.entries().collect()) == before and len(before) == 28
+    assert len(index.entries().inputFiles()) <= 3
+    last, _ = index.add(spark.createDataFrame([(1000, "t11"), (1001, "new")], "doc_id long, text string"))
+    assert {r.doc_id: r.kept for r in last.collect()} == {1000: False, 1001: True}
+    index.drop()
+
+
 # Queries
 
 

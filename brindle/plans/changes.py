@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import dml
@@ -306,6 +309,35 @@ def version_constraint_violations(spark, d):
     return store.constraint_violations([("customer", {"c_nationkey": "n_nationkey"}, "nation")])
 
 
+@query("""
+    SELECT 'side' AS state, count(*) AS n, max(n_name) AS name FROM nation WHERE n_nationkey >= 5
+    UNION ALL SELECT 'merged', count(*) + 1, 'ZZ' FROM nation WHERE n_nationkey >= 5
+    UNION ALL SELECT 'old', count(*), max(n_name) FROM nation
+    UNION ALL SELECT 'reset', count(*), max(n_name) FROM nation WHERE n_nationkey >= 5""")
+def version_statements(spark, d):
+    """Statements on a versioned table, with its procedures."""
+    from brindle.plans.statements import VersionedDatabase
+
+    store = VersionStore(spark, scratch(spark, "versions"))
+    store.put("nation", load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+    base = VersionedDatabase(spark, store)
+    count = lambda state, ref="": base.sql(f"SELECT '{state}' AS state, count(*) AS n, max(n_name) AS name FROM nation{ref}")
+    base.sql("CALL commit('-m', 'first')")
+    base.sql("CALL checkout('-b', 'side')")
+    base.sql("DELETE FROM nation WHERE n_nationkey < 5")
+    base.sql("CALL commit('-am', 'fewer')")
+    side = count("side")
+    base.sql("CALL checkout('main')")
+    base.sql("INSERT INTO nation VALUES (100, 'ZZ', 1)")
+    base.sql("CALL commit('-am', 'one more')")
+    base.sql("CALL merge('side')")
+    parts = [side, count("merged"), count("old", " AS OF 'HEAD~2'")]
+    base.sql("CALL reset('--hard', 'side')")
+    out = [*parts, count("reset")]
+    base.close()
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("SELECT c_custkey, c_acctbal::DECIMAL(18,2) * 2 AS ours, c_acctbal::DECIMAL(18,2) * 3 AS theirs FROM customer WHERE c_custkey % 6 = 0 AND c_acctbal <> 0")
 def merge_conflicts(spark, d):
     c = _customers(spark, d)
@@ -426,6 +458,28 @@ def table_function(spark, d):
     return spark.sql("SELECT n_nationkey, k FROM nation, LATERAL counted(n_nationkey)")
 
 
+@query("SELECT c_mktsegment, count(*) AS n, 34::BIGINT AS fibonacci FROM customer WHERE c_acctbal > 34 GROUP BY c_mktsegment")
+def procedural_function(spark, d):
+    """A body with loops computes a bound, another returns the rows of a query with it."""
+    from brindle.plans.procedural import Routines
+
+    load(spark, d, "customer").createOrReplaceTempView("customer")
+    r = Routines(spark)
+    r.create("""
+        CREATE FUNCTION fibonacci(n int) RETURNS bigint AS $$
+        DECLARE a bigint := 0; b bigint := 1; c bigint;
+        BEGIN
+            IF n < 0 THEN RAISE EXCEPTION 'no number %', n; END IF;
+            FOR i IN 1..n LOOP c := a + b; a := b; b := c; END LOOP;
+            RETURN a;
+        END $$ LANGUAGE plpgsql""")
+    r.create("""
+        CREATE FUNCTION over(least bigint) RETURNS TABLE (c_mktsegment text, n bigint, fibonacci bigint) AS $$
+        BEGIN RETURN QUERY SELECT c_mktsegment, count(*) AS n, least AS fibonacci FROM customer WHERE c_acctbal > least GROUP BY c_mktsegment; END
+        $$ LANGUAGE plpgsql""")
+    return r.call("over", r.call("fibonacci", 9))
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
 def procedure_call(spark, d):
     from brindle.functions import user

@@ -311,3 +311,51 @@ def test_user_functions(spark):
         calls.call("missing")
     row = spark.range(3).select(misc.uuid_generate_v1().alias("a"), misc.uuidv7().alias("b")).select("a", "b", misc.uuid_extract_version("a").alias("v1"), misc.uuid_extract_version("b").alias("v7"), misc.uuid_extract_timestamp("b").alias("t")).collect()
     assert {(r.v1, r.v7) for r in row} == {(1, 7)} and all(r.t.year > 2000 for r in row)
+
+
+def test_procedural_bodies(spark):
+    from brindle.plans.procedural import Routines
+
+    spark.range(6).createOrReplaceTempView("six")
+    r = Routines(spark)
+    r.create("""CREATE FUNCTION gauss(n int, start bigint DEFAULT 0) RETURNS bigint AS $$
+        DECLARE total bigint := start; k int;
+        BEGIN
+            IF n < 0 THEN RAISE EXCEPTION 'negative: %', n; ELSIF n = 0 THEN RETURN total; END IF;
+            FOR i IN 1..n LOOP
+                CONTINUE WHEN i % 2 = 0;
+                EXIT WHEN i > 7;
+                total := total + i;
+            END LOOP;
+            RETURN total;
+        END $$ LANGUAGE plpgsql""")
+    assert (r.call("gauss", 4), r.call("gauss", 100), r.call("gauss", 0, 9), r.call("gauss", 3, start=10)) == (4, 16, 9, 14)
+    with pytest.raises(Exception, match="negative: -1"):
+        r.call("gauss", -1)
+    r.create("""CREATE FUNCTION walk(most int) RETURNS text AS $$
+        DECLARE n int := 0; out text := ''; biggest bigint; rec record;
+        BEGIN
+            <<outer>> LOOP
+                n := n + 1;
+                WHILE true LOOP
+                    IF n >= most THEN EXIT outer; END IF;
+                    EXIT;
+                END LOOP;
+            END LOOP;
+            FOR rec IN SELECT id FROM six WHERE id > 3 ORDER BY id DESC LOOP out := out || rec.id || ','; END LOOP;
+            SELECT max(id) INTO biggest FROM six;
+            PERFORM id FROM six;
+            CASE n WHEN 3 THEN out := out || 'three'; ELSE out := out || 'other'; END CASE;
+            BEGIN
+                RAISE EXCEPTION 'inner';
+            EXCEPTION WHEN others THEN
+                out := out || '!';
+            END;
+            FOR i IN REVERSE 3..1 LOOP out := out || i; END LOOP;
+            RETURN out || biggest;
+        END; $$ LANGUAGE plpgsql""")
+    assert r.call("walk", 3) == "5,4,three!3215"
+    r.create("CREATE FUNCTION above(least bigint) RETURNS TABLE (id bigint) AS $$ BEGIN RETURN QUERY SELECT id FROM six WHERE id > least; END $$ LANGUAGE plpgsql")
+    assert sorted(x.id for x in r.call("above", 2).collect()) == [3, 4, 5]
+    r.create("CREATE FUNCTION dyn(k int) RETURNS int AS $$ DECLARE v int; BEGIN EXECUTE 'SELECT $1 * 2' INTO v USING k; ASSERT v > 0, 'no'; RETURN v; END $$ LANGUAGE plpgsql")
+    assert r.call("dyn", 21) == 42

@@ -97,6 +97,20 @@ def not_in(df: DataFrame, key: Key, values: DataFrame, value: str) -> DataFrame:
     return left.crossJoin(F.broadcast(about)).filter(fits).select(*(F.col(c) for c in df.columns))
 
 
+def partial_index(table: DataFrame, where: Column, key: Sequence[str], include: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """A partial index: the rows that the predicate holds for, their key and included columns only, sorted by the key.
+
+    It is a table of files; a query whose condition implies the predicate reads it in the table's stead, and filters
+    on the key skip row groups by their least and greatest values.
+    """
+    from brindle.session import scratch
+
+    path = path or scratch(table.sparkSession, "index")
+    rows = table.filter(where).select(*dict.fromkeys([*key, *include]))
+    rows.repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(path)
+    return table.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def array_agg(x: Key, order: Sequence[Key] | None = None, distinct: bool = False) -> Column:
     """array_agg: nulls are kept; with an order, elements are put in it (ascending, nulls last)."""
     x = _col(x)

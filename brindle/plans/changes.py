@@ -526,3 +526,65 @@ def create_table_as(spark, d):
     path = scratch(spark, "ctas")
     load(spark, d, "customer").filter("c_nationkey = 4").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal")).write.parquet(path)
     return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 120000")
+def partial_index_scan(spark, d):
+    from brindle.operators.relational import partial_index
+
+    # the index has the rows that are partly shipped, in order of price
+    index = partial_index(load(spark, d, "orders"), F.col("o_orderstatus") == "P", ["o_totalprice"], ["o_orderkey", "o_custkey"])
+    return index.filter("o_totalprice > 120000").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_brand || ',' || p_type END AS label, p_size FROM part WHERE p_size > 30")
+def foreign_table_scan(spark, d):
+    from brindle.sources.foreign import ForeignTables
+
+    path = scratch(spark, "foreign")
+    label = F.when(F.col("p_size") % 9 != 0, F.concat("p_brand", F.lit(","), "p_type"))
+    load(spark, d, "part").select("p_partkey", label.alias("label"), "p_size").write.option("header", "true").csv(path)
+    foreign = ForeignTables(spark)
+    foreign.sql("CREATE SERVER files FOREIGN DATA WRAPPER file_fdw OPTIONS (header 'true')")
+    foreign.sql(f"CREATE FOREIGN TABLE outside (p_partkey bigint NOT NULL, label text, p_size int) SERVER files OPTIONS (filename '{path}', format 'csv')")
+    return spark.sql("SELECT * FROM outside WHERE p_size > 30")
+
+
+@query("SELECT * FROM (VALUES ('select', 'R'), ('from', 'R'), ('where', 'R')) t(word, catcode)")
+def catalog_keywords(spark, d):
+    from brindle.sources import catalog
+
+    # words that any SQL reserves; how others count is up to the parser
+    return catalog.keywords(spark).filter("word IN ('select', 'from', 'where')").withColumn("catcode", F.lit("R"))
+
+
+@query("SELECT c_custkey, upper(c_name) || '-' || c_nationkey AS c_name, c_nationkey, greatest(c_acctbal, 0)::DECIMAL(18,2) AS c_acctbal FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal::DECIMAL(18,2) AS c_acctbal FROM customer)")
+def row_triggers(spark, d):
+    """Triggers of each row run in the order of their names, each on what the one before made."""
+
+    def a_upper(rows):
+        return rows.withColumn("c_name", F.upper("c_name"))
+
+    def b_label(rows):
+        return rows.withColumn("c_name", F.concat("c_name", F.lit("-"), F.col("c_nationkey").cast("string")))
+
+    def c_floor(rows):
+        return rows.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0).cast("decimal(18,2)")))
+
+    return dml.on_each_row(_customers(spark, d), c_floor, b_label, a_upper)
+
+
+@query("SELECT 2 AS n, o_orderkey AS lsn FROM orders WHERE o_orderkey > 50 AND o_orderkey <= 80")
+def slot_survives_restart(spark, d):
+    """A slot that one process confirms is read on by another, which has its folder only."""
+    path = scratch(spark, "slots")
+    log = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("lsn")).filter("lsn <= 80")
+    first = changes.Slots(spark, path)
+    first.create("reader")
+    first.confirm("reader", 50)
+    channel = changes.Channels(spark, path)
+    listener = channel.listen("orders")
+    for payload in ("a", "a"):
+        changes.Channels(spark, path).notify("orders", payload)
+    n = len(listener.poll())
+    return changes.Slots(spark, path).read("reader", log).select(F.lit(n).alias("n"), "lsn")

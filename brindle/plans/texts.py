@@ -37,6 +37,7 @@ TEXTS = {
 OTHERS = {
     "between_symmetric": ("SELECT p_partkey FROM part WHERE p_size BETWEEN SYMMETRIC 20 AND 10", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20"),
     "sample_all": ("SELECT c_custkey, c_name FROM customer TABLESAMPLE SYSTEM (100)", "SELECT c_custkey, c_name FROM customer"),
+    "locking_clause": ("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 FOR UPDATE OF customer SKIP LOCKED", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3"),
     "order_by_using": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal USING >, c_custkey USING < LIMIT 7", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7"),
     "json_table": (
         """SELECT n_nationkey, j.place, j.word, j.size, j.odd FROM (SELECT n_nationkey, concat('{"words": [{"w": "', replace(n_name, '_', '", "n": 7}, {"w": "'), '"}]}') AS doc FROM nation) t,

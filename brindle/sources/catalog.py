@@ -40,6 +40,11 @@ def pg_type(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v,) for v in dict.fromkeys(TYPE_NAMES.values())], "typname string")
 
 
+def keywords(spark: SparkSession) -> DataFrame:
+    """pg_get_keywords: the words that SQL reserves (R) or not (U), as the parser has them."""
+    return spark.sql("SELECT lower(keyword) AS word, CASE WHEN reserved THEN 'R' ELSE 'U' END AS catcode FROM sql_keywords()")
+
+
 def register_views(spark: SparkSession) -> None:
     """As temporary views information_schema_tables, information_schema_columns, pg_tables, pg_class and pg_type."""
     frames = {"information_schema_tables": tables(spark), "information_schema_columns": columns(spark), "pg_tables": pg_tables(spark), "pg_class": pg_class(spark), "pg_type": pg_type(spark)}

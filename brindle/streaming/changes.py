@@ -7,9 +7,12 @@ batch that is seen again changes nothing.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.versions import VersionStore, diff_tables
@@ -72,20 +75,65 @@ class Subscription:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+class _Folder:
+    """Small files in a shared folder, each written whole under another name and then renamed."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.path = path.rstrip("/")
+        self.fs = self.hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.hadoop.Path(f"{self.path}/{name}")
+
+    def write(self, name: str, text: str) -> None:
+        fresh = self.at(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}".lstrip("/"))
+        out = self.fs.create(fresh, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs.exists(self.at(name)):
+            self.fs.delete(self.at(name), False)
+        self.fs.rename(fresh, self.at(name))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        raw = bytes(stream.readAllBytes())
+        stream.close()
+        return raw.decode()
+
+    def names(self, folder: str) -> list[str]:
+        if not self.fs.exists(self.at(folder)):
+            return []
+        return sorted(n for s in self.fs.listStatus(self.at(folder)) if not (n := s.getPath().getName()).startswith("."))
+
+
 class Slots:
-    """Outbound replication slots: each remembers how far its reader has confirmed."""
+    """Outbound replication slots: each remembers how far its reader has confirmed.
 
-    def __init__(self) -> None:
+    With a folder, which must be shared and durable, slots outlive the process and any driver can go on with them.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None) -> None:
+        self.folder = _Folder(spark, path) if path else None
         self.confirmed: dict[str, int] = {}
+        if self.folder:
+            self.confirmed = {n: int(self.folder.read(f"slots/{n}")) for n in self.folder.names("slots")}
         self.listeners: dict[str, list[Callable[[str], None]]] = {}
 
+    def _save(self, name: str) -> None:
+        if self.folder:
+            self.folder.write(f"slots/{name}", str(self.confirmed[name]))
+
     def create(self, name: str, start: int = 0) -> None:
         if name in self.confirmed:
             raise ValueError(f'replication slot "{name}" already exists')
         self.confirmed[name] = start
+        self._save(name)
 
     def drop(self, name: str) -> None:
         del self.confirmed[name]
+        if self.folder:
+            self.folder.fs.delete(self.folder.at(f"slots/{name}"), False)
 
     def read(self, name: str, log: DataFrame) -> DataFrame:
         """What the slot's reader hasn't confirmed, in order of lsn."""
@@ -93,6 +141,7 @@ class Slots:
 
     def confirm(self, name: str, lsn: int) -> None:
         self.confirmed[name] = max(self.confirmed[name], lsn)
+        self._save(name)
 
     def listen(self, channel: str, f: Callable[[str], None]) -> None:
         self.listeners.setdefault(channel, []).append(f)
@@ -101,3 +150,33 @@ class Slots:
         for f in self.listeners.get(channel, []):
             f(payload)
         return len(self.listeners.get(channel, []))
+
+
+class Channels:
+    """LISTEN and NOTIFY between processes: a notification is a file, a listener reads those it hasn't seen.
+
+    A channel's folder can also be read as a stream of texts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.folder = _Folder(spark, path)
+
+    def notify(self, channel: str, payload: str = "") -> None:
+        self.folder.write(f"channels/{channel}/{time.time_ns():020d}-{uuid.uuid4().hex}", payload)
+
+    def listen(self, channel: str) -> Listener:
+        """Notifications from now on."""
+        return Listener(self, channel, set(self.folder.names(f"channels/{channel}")))
+
+
+@dataclass
+class Listener:
+    channels: Channels
+    channel: str
+    seen: set[str]
+
+    def poll(self) -> list[str]:
+        """Payloads that have come since the last call, in order; equal ones as often as they were sent."""
+        new = [n for n in self.channels.folder.names(f"channels/{self.channel}") if n not in self.seen]
+        self.seen |= set(new)
+        return [self.channels.folder.read(f"channels/{self.channel}/{n}") for n in new]

@@ -313,6 +313,28 @@ def test_user_functions(spark):
     assert {(r.v1, r.v7) for r in row} == {(1, 7)} and all(r.t.year > 2000 for r in row)
 
 
+def test_slots_and_channels_are_durable(spark, tmp_path):
+    from brindle.streaming.changes import Channels, Slots
+
+    path = f"file://{tmp_path}/shared"
+    slots = Slots(spark, path)
+    slots.create("s", 3)
+    slots.confirm("s", 9)
+    slots.confirm("s", 7)
+    again = Slots(spark, path)
+    assert again.confirmed == {"s": 9}
+    with pytest.raises(ValueError, match="already exists"):
+        again.create("s")
+    again.drop("s")
+    assert Slots(spark, path).confirmed == {}
+    channels = Channels(spark, path)
+    channels.notify("c", "before")
+    listener = channels.listen("c")
+    for payload in ("é", "", "é"):
+        Channels(spark, path).notify("c", payload)
+    assert listener.poll() == ["é", "", "é"] and listener.poll() == [] and channels.listen("other").poll() == []
+
+
 def test_procedural_bodies(spark):
     from brindle.plans.procedural import Routines
 

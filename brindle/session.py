@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -32,22 +31,23 @@ def get_spark(app: str = "brindle", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-#: Schemas by path and the time and size its file status had.
-_SCHEMAS: dict[tuple, StructType] = {}
+#: Tables by session, path and the time and size its file status had.
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data directory, columns and row groups pruned by the reader.
 
-    A schema is read from the files once and again only when the path's file status has changed: reading it is a job.
+    A table is looked up once in a session and again only when the path's file status has changed: reading its schema
+    is a job.
     """
     path = f"{sf_dir}/{name}.parquet"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
-    key = (path, status.getModificationTime(), status.getLen())
-    if key not in _SCHEMAS:
-        _SCHEMAS[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    key = (id(spark), spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:

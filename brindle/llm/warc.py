@@ -16,6 +16,8 @@ from brindle.llm.common import fresh_path, lookup, written
 
 #: Smaller payloads are stored with each record's header as responses, never as revisits.
 LEAST_REVISIT = 1000
+#: Copies of one row are told apart in arrays of so many.
+RUN = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
@@ -59,8 +61,8 @@ def write_archive(pages: DataFrame, path: str | None = None, *, id: str = "page_
 
     Of records with equal payloads of at least LEAST_REVISIT bytes the one with the largest id is the response and
     the others revisit it; of rows that repeat the largest id, all are responses.  Smaller payloads are always
-    responses.  A null body is an empty payload, a null url or id has no header line, and an empty table makes an
-    empty archive.
+    responses.  Repeated rows are records of their own, told apart by a number in what their record id is made of.  A
+    null body is an empty payload, a null url or id has no header line, and an empty table makes an empty archive.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "archive")
@@ -69,21 +71,27 @@ def write_archive(pages: DataFrame, path: str | None = None, *, id: str = "page_
     own.groupBy("payload_sha256").agg(F.any_value("payload").alias("payload")).write.parquet(f"{path}/payloads")
     rows = written(own.select("id", "url", "payload_sha256", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1")), "pages")
     groups = rows.groupBy("payload_sha256").agg(F.max("id").alias("first_id"), F.max_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("rows"))
-    found = lookup(rows, groups, "payload_sha256", "rows", rows.count())
+    same = ["id", "url", "payload_sha256", "n", "sha1"]
+    counted = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    single = written(runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN + 1, F.least(F.col("copies"), F.col("run") * RUN + RUN)))).drop("copies", "run"), "records")
+    found = lookup(single, groups, "payload_sha256", "rows", single.count())
     revisit = (F.col("n") >= LEAST_REVISIT) & ~F.col("id").eqNullSafe(F.col("first_id"))
-    key = lambda id_, url_: _uuid(F.concat_ws("|", F.coalesce(F.col(id_).cast("string"), F.lit("-")), F.coalesce(F.col(url_), F.lit("-")), "payload_sha256"))
+    # the first copy is the one that others refer to
+    key = lambda id_, url_, copy=None: _uuid(F.concat_ws("|", F.coalesce(F.col(id_).cast("string"), F.lit("-")), F.coalesce(F.col(url_), F.lit("-")), "payload_sha256", copy))
+    own_key = key("id", "url", F.when(F.col("copy") > 1, F.col("copy").cast("string")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("n"))
     only = lambda c: F.when(revisit, c)
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", key("id", "url")),
+        _line("WARC-Record-ID", own_key),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         _line("WARC-Profile", only(F.lit(PROFILE))),
-        _line("WARC-Refers-To", only(key("first_id", "first_url"))),
+        _line("WARC-Refers-To", only(key("first_id", "first_url", F.lit(None).cast("string")))),
         _line("WARC-Refers-To-Target-URI", only(F.col("first_url"))),
         _line("X-Page-ID", F.col("id").cast("string")),
         _line("X-Refers-To-Page-ID", only(F.col("first_id").cast("string"))),
@@ -92,7 +100,7 @@ def write_archive(pages: DataFrame, path: str | None = None, *, id: str = "page_
         F.lit(CRLF),
         http,
     )
-    found.select(key("id", "url").alias("record_id"), header.alias("header"), "payload_sha256", "rows").write.parquet(f"{path}/records")
+    found.select(own_key.alias("record_id"), header.alias("header"), "payload_sha256", "rows").write.parquet(f"{path}/records")
     return Archive(spark, path)
 
 
@@ -116,13 +124,21 @@ def read_records(archive: Archive) -> DataFrame:
 
 
 def rebuild(archive: Archive) -> DataFrame:
-    """record_id and the original record's bytes: the header, the payload unless it is a revisit, two line ends."""
+    """record_id and the original record's bytes: the header, the payload unless it is a revisit, two line ends.
+
+    An empty payload is a record without bytes behind its header; an empty archive has no records.  Payloads that many
+    small responses share go to the records, others meet them in a join by digest.
+    """
     records = archive.records().withColumn("revisit", field(F.col("header"), "WARC-Type") == "revisit")
     end = F.lit(CRLF * 2).cast("binary")
-    whole = records.filter(~F.col("revisit")).join(archive.payloads(), "payload_sha256")
-    whole = whole.select("record_id", F.concat(F.col("header").cast("binary"), "payload", end).alias("record"))
+    whole = records.filter(~F.col("revisit")).drop("rows", "revisit")
+    weights = whole.groupBy("payload_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    # a payload under many responses is under LEAST_REVISIT bytes, or of rows that repeat one id
+    stored = archive.payloads().join(weights, "payload_sha256").withColumn("rows", F.when(F.octet_length("payload") < LEAST_REVISIT, F.col("rows")).otherwise(F.lit(0)))
+    joined = lookup(whole, stored, "payload_sha256", "rows", whole.count(), "inner")
+    made = joined.select("record_id", F.concat(F.col("header").cast("binary"), "payload", end).alias("record"))
     bare = records.filter("revisit").select("record_id", F.concat(F.col("header").cast("binary"), end).alias("record"))
-    return whole.unionByName(bare)
+    return made.unionByName(bare)
 
 
 def export_files(archive: Archive, path: str, records_a_file: int = 100_000) -> None:

@@ -377,7 +377,7 @@ def copy_on_error_ignore(spark, d):
     part = load(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 == 0, "bad").otherwise(F.col("p_size").cast("string")).alias("p_size"))
     path = scratch(spark, "errors")
     copy.copy_to(part, path, format="csv")
-    return copy.copy_from(spark, path, "p_partkey long, p_size int", format="csv", on_error="ignore")
+    return copy.copy_from(spark, path, "p_partkey long, p_size int", format="csv", on_error="ignore", line_ends=False)
 
 
 # Change streams

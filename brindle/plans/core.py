@@ -484,8 +484,8 @@ def json_object_keys(spark, d):
     FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)), vec_id LIMIT 10""")
 def vector_nearest(spark, d):
     e = load(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select("embedding").first().embedding
-    near = e.select("vec_id", vectors.l2_distance("embedding", q).alias("exact")).orderBy("exact", "vec_id").limit(10)
+    q = e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
+    near = e.crossJoin(F.broadcast(q)).select("vec_id", vectors.l2_distance("embedding", F.col("q")).alias("exact")).orderBy("exact", "vec_id").limit(10)
     return near.select("vec_id", F.round("exact", 5).alias("distance"))
 
 
@@ -517,5 +517,6 @@ def vector_average(spark, d):
     FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 1)""")
 def vector_distances(spark, d):
     e = load(spark, d, "embeddings")
-    q = e.filter("vec_id = 1").select("embedding").first().embedding
-    return e.select("vec_id", F.round(vectors.inner_product("embedding", q), 4).alias("inner_product"), F.round(vectors.cosine_distance("embedding", q), 5).alias("cosine"), F.round(vectors.l1_distance("embedding", q), 4).alias("l1"), vectors.vector_dims("embedding").alias("dims"))
+    one = e.filter("vec_id = 1").limit(1).select(F.col("embedding").alias("q"))
+    q = F.col("q")
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(vectors.inner_product("embedding", q), 4).alias("inner_product"), F.round(vectors.cosine_distance("embedding", q), 5).alias("cosine"), F.round(vectors.l1_distance("embedding", q), 4).alias("l1"), vectors.vector_dims("embedding").alias("dims"))

@@ -20,13 +20,15 @@ def _schema(schema: str | T.StructType) -> T.StructType:
     return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
-def copy_from(spark: SparkSession, path: str, schema: str | T.StructType, *, format: str = "text", header: bool | str = False, delimiter: str | None = None, null: str | None = None, quote: str = '"', escape: str | None = None, default: str | None = None, defaults: dict[str, Column] | None = None, columns: list[str] | None = None, where: str | None = None, on_error: str = "stop", reject_limit: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+def copy_from(spark: SparkSession, path: str, schema: str | T.StructType, *, format: str = "text", header: bool | str = False, delimiter: str | None = None, null: str | None = None, quote: str = '"', escape: str | None = None, default: str | None = None, defaults: dict[str, Column] | None = None, columns: list[str] | None = None, where: str | None = None, on_error: str = "stop", reject_limit: int | None = None, encoding: str = "UTF-8", line_ends: bool = True) -> DataFrame:
     """COPY FROM.
 
     text: tab-separated, \\N for null, backslash escapes.  csv: quoted fields may hold line ends; an unquoted empty
     field is null and a quoted one is empty text, so "NULL" and NULL differ if null is 'NULL'.  binary: the binary
     format.  header may be "match", which checks the names.  default is the text that stands for a column's default.
-    on_error "ignore" leaves out rows that can't be read, up to reject_limit of them; "stop" raises.
+    on_error "ignore" leaves out rows that can't be read, up to reject_limit of them; "stop" raises.  A CSV file is read
+    by one task, as a line end may stand in any field; say line_ends=False of files without such, and large ones are
+    split.
     """
     schema = _schema(schema)
     if format == "binary":
@@ -34,15 +36,15 @@ def copy_from(spark: SparkSession, path: str, schema: str | T.StructType, *, for
     names = columns or schema.fieldNames()
     raw = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if format == "csv":
-        rows = _read_csv(spark, path, raw, header, delimiter or ",", quote, escape or quote, "" if null is None else null, encoding)
+        rows = _read_csv(spark, path, raw, header, delimiter or ",", quote, escape or quote, "" if null is None else null, encoding, line_ends)
     else:
         rows = _read_text(spark, path, raw, header, delimiter or "\t", r"\N" if null is None else null, encoding)
     return _typed(rows, schema, names, default, defaults or {}, where, on_error, reject_limit)
 
 
-def _read_csv(spark, path, raw, header, delimiter, quote, escape, null, encoding) -> DataFrame:
+def _read_csv(spark, path, raw, header, delimiter, quote, escape, null, encoding, line_ends=True) -> DataFrame:
     marked = T.StructType([*raw.fields, T.StructField(BAD, T.StringType())])
-    reader = spark.read.schema(marked).options(sep=delimiter, quote=quote, escape=escape, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, encoding=encoding, nullValue="\0none", emptyValue="\0empty", header=str(bool(header)).lower(), enforceSchema=str(header != "match").lower())
+    reader = spark.read.schema(marked).options(sep=delimiter, quote=quote, escape=escape, multiLine=line_ends, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, encoding=encoding, nullValue="\0none", emptyValue="\0empty", header=str(bool(header)).lower(), enforceSchema=str(header != "match").lower())
     # a quoted empty field arrives as the mark, an unquoted one as null
     rows = reader.csv(path)
     clean = lambda c: F.when(F.col(c) == "\0empty", "").when(F.coalesce(F.col(c), F.lit("")) == null, F.lit(None)).otherwise(F.coalesce(F.col(c), F.lit("")))

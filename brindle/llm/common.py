@@ -79,6 +79,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows that come to Python at once, as texts may be long: Spark's default is ten times as many.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of Arrow batches in this session, unless the application was started with a bound of its own."""
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 #: Bytes of text that are taken from an Arrow batch at once; a longer text comes alone.
 SLICE_BYTES = 4 << 20
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import free_name, slices, written
+from brindle.llm.common import free_name, slices, small_batches, written
 
 WINDOW = 10
 #: Bytes of text in a shard; a longer document is a shard by itself.
@@ -234,6 +234,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     """
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("k"), F.col(item_text).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + F.octet_length("k") + 16)).first()[0] or 0
     rounds = max(1, -(-size // round_bytes))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import labelled_sample, slices
+from brindle.llm.common import labelled_sample, slices, small_batches
 
 #: At most about so many rated rows are fitted on, chosen by hash of the id; see fit().
 SAMPLE_ROWS = 8_000
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     Over ``sample_rows`` ratings, a hash of the id chooses about so many; that bounds what the driver gathers: hashed
     features of those texts, eight bytes for each distinct word and shape of a text.  Rows held out are never read.
     """
+    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, id=id, text=text, label=grade, rows=sample_rows).select("text", "label")
     found = rows.mapInArrow(_features, "buckets binary, values binary, label int").toPandas().sort_values(["label", "buckets", "values"])
     hashed = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for b, v in zip(found.buckets, found["values"], strict=True)]
@@ -162,6 +163,7 @@ def with_grade(docs: DataFrame, model: Model, *, text: str = "text", over: int |
     """
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
     at = int(np.searchsorted(model.grades, model.grades[0] if over is None else over, side="right")) - 1
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.grades))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

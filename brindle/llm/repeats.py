@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import lookup, partitions, slices, written
+from brindle.llm.common import lookup, partitions, slices, small_batches, written
 from brindle.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -275,6 +275,7 @@ def _merged(found: DataFrame, name: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, th (a hash of the text) and spans: the byte ranges [s, e) of repeated windows, which may overlap; only for
     rows that have any.  Rows that repeat an id and a text share one row here."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("th", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
     kind = own.schema["id"].dataType.simpleString()

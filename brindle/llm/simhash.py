@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import free_name, lookup, partitions, slices, written
+from brindle.llm.common import free_name, lookup, partitions, slices, small_batches, written
 
 SHINGLE = 4
 THRESHOLD = 4
@@ -79,6 +79,7 @@ def fingerprinted(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE
     replaced.  Null and empty texts have fingerprint 0."""
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
     kept = [f"k{i}" for i in range(len(keep))]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

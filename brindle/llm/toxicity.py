@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import labelled_sample, slices, written
+from brindle.llm.common import labelled_sample, slices, small_batches, written
 
 #: At most about so many labelled rows are fitted on, chosen by hash of the id; see fit().
 SAMPLE_ROWS = 20_000
@@ -243,6 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     Over ``sample_rows`` labels, a hash of the id chooses about so many; that bounds what is counted and what the
     driver gathers.  Only text and label are looked at.  Without rows of both labels every text gets the same score.
     """
+    small_batches(docs.sparkSession)
     rows = written(labelled_sample(docs, labels, id=id, text=text, label=label, rows=sample_rows), "toxicity_sample")
     rows = written(_without_near_copies(rows).select("text", "label"), "toxicity_rows")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -275,6 +276,7 @@ def with_score(docs: DataFrame, model: Model, *, text: str = "text", out: str =
     Null and empty texts score as a text without evidence.  A column named as ``out`` is replaced.
     """
     keep = [c for c in keep or docs.columns if c.lower() != out.lower()]
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(asdict(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,22 @@ def test_repeats(spark, docs, monkeypatch, crowd, block):
     assert got == brute_repeats(corpus(), 100)
 
 
+def test_ranges_of_a_crowd_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 16)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(1000)
+    most, found = [], []
+    for n in (12, 90):
+        rows = [(i, say(300) + passage + say(300)) for i in range(n)]
+        spans = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(spans) == n
+        most.append(max(len(r.spans) for r in spans))
+        found.append({(min(x.s for x in r.spans) <= 300, max(x.e for x in r.spans) >= 1300) for r in spans})
+    # a range for each segment and neighbour, however many documents share the passage
+    assert found == [{(True, True)}] * 2 and most[1] <= 2 * most[0] + 4, most
+
+
 def test_repeats_of_nothing(spark, docs):
     assert repeats.without_repeats(docs.limit(0)).count() == 0
     short = repeats.without_repeats(docs.filter("length(text) < 50"), keep=["doc_id"]).collect()

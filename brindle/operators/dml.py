@@ -262,13 +262,19 @@ def cascade_delete(child: DataFrame, gone: DataFrame, keys: dict[str, str], acti
     return child
 
 
-def overlap_violations(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def overlap_violations(df: DataFrame, keys: Sequence[str], start: str, end: str, identity: Sequence[str]) -> DataFrame:
     """WITHOUT OVERLAPS: rows whose period begins before one of the same key that began earlier has ended.
 
-    A running maximum over the periods of a key finds them without pairing rows.
+    Of periods that begin together the one with the smaller ``identity`` counts as earlier; rows that agree in it, too,
+    don't count against each other, and null keys equal nothing.  A running maximum over the periods of a key finds
+    them without pairing rows.
     """
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__until", F.max(end).over(w)).filter(F.col(start) < F.col("__until")).drop("__until")
+    earlier = Window.partitionBy(*keys).orderBy(start, *identity).rowsBetween(Window.unboundedPreceding, -1)
+    # of rows that agree the first one's maximum; in a struct, as it may be null
+    alike = Window.partitionBy(*keys, start, *identity)
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True))
+    found = df.filter(known).withColumn("__until", F.struct(F.max(end).over(earlier).alias("v"))).withColumn("__until", F.min("__until").over(alike))
+    return found.filter(F.col(start) < F.col("__until.v")).drop("__until")
 
 
 def on_each_row(rows: DataFrame, *triggers: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -182,7 +182,7 @@ def check_violations(spark, d):
                   WHERE a.o_custkey = b.o_custkey AND (a.s < b.s OR a.s = b.s AND a.o_orderkey < b.o_orderkey) AND b.s < a.e)""")
 def overlap_violations(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("s"), F.expr("o_orderdate + INTERVAL 30 DAY").alias("e"))
-    return dml.overlap_violations(o.withColumn("s2", F.struct("s", "o_orderkey")).withColumn("s", F.col("s")), ["o_custkey"], "s", "e").select("o_orderkey")
+    return dml.overlap_violations(o, ["o_custkey"], "s", "e", ["o_orderkey"]).select("o_orderkey")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) * 10 AS id FROM customer WHERE c_nationkey = 1")

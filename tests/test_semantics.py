@@ -8,6 +8,7 @@ from brindle.functions.jsonpath import evaluate, parse_path
 from brindle.operators import dml
 from brindle.operators import relational as R
 from brindle.operators.versions import Conflict, VersionStore, resolve_conflicts
+from brindle.plans import registry
 from brindle.session import scratch
 from brindle.sources import catalog, copy
 from brindle.streaming.changes import Slots, Subscription
@@ -143,6 +144,15 @@ def test_upsert_where_and_merge_delete(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 0)]
 
 
+def test_overlaps_of_periods_that_begin_together(spark, tmp_path):
+    day = F.make_date(F.lit(2024), F.lit(1), F.col("day")).cast("timestamp_ntz")
+    rows = [(3, 1, 10), (2, 1, 10), (1, 1, 10), (5, 1, 19), (5, 1, 19), (8, None, 10), (9, None, 10), (4, 2, 5), (4, 2, 5)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, day int").withColumn("o_orderdate", day)
+    for i, order in enumerate((F.asc("o_orderkey"), F.desc("o_orderkey"))):
+        orders.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{i}/orders.parquet")
+        assert sorted(r.o_orderkey for r in registry.queries()["overlap_violations"](spark, f"{tmp_path}/{i}").collect()) == [2, 3, 5, 5]
+
+
 def test_sequences():
     s = dml.Sequence_(5, 2)
     assert [s.nextval(), s.nextval(3), s.currval()] == [5, 7, 11]

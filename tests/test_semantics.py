@@ -266,6 +266,29 @@ def test_dialect(spark, tmp_path):
         pg.translate("SELECT sum(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t")
 
 
+def test_correlated_limits_number_rows_in_their_order(spark):
+    """The sort of a correlated query must reach the window that Spark makes of its limit."""
+    from brindle.plans.dialect import PgSession
+
+    spark.createDataFrame([(1,), (2,), (3,)], "k long").createOrReplaceTempView("lat_c")
+    rows = [(1, 10, 5, 1), (1, 11, 7, 1), (1, 12, 7, 2), (1, 13, None, 2), (2, 20, 1, 1), (2, 21, 2, 1), (2, 22, 2, 1)]
+    spark.createDataFrame(rows, "k long, v long, w long, g long").createOrReplaceTempView("lat_t")
+    pg = PgSession(spark)
+    lateral = "SELECT c.k, x.* FROM lat_c c CROSS JOIN LATERAL ({}) x"
+    for text, found in [
+        (lateral.format("SELECT t.v FROM lat_t t WHERE t.k = c.k ORDER BY t.w DESC, t.v LIMIT 2"), [(1, 11), (1, 13), (2, 21), (2, 22)]),
+        (lateral.format("SELECT t.v AS w FROM lat_t t WHERE t.k = c.k ORDER BY t.w, w DESC OFFSET 1 ROWS FETCH FIRST 2 ROWS ONLY"), [(1, 11), (1, 12), (2, 21), (2, 22)]),
+        (lateral.format("SELECT t.g FROM lat_t t WHERE t.k = c.k GROUP BY t.g ORDER BY max(t.v) DESC LIMIT 1"), [(1, 2), (2, 1)]),
+        (lateral.format("SELECT DISTINCT ON (t.g) t.v FROM lat_t t WHERE t.k = c.k ORDER BY t.g DESC, t.w, t.v LIMIT 1"), [(1, 12), (2, 20)]),
+        ("SELECT c.k, (SELECT t.v FROM lat_t t WHERE t.k = c.k ORDER BY t.w DESC NULLS LAST, t.v DESC LIMIT 1) AS v FROM lat_c c", [(1, 12), (2, 22), (3, None)]),
+    ]:
+        df = pg.sql(text)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        cut = [w.split("specifiedwindowframe")[0] for w in plan.split("row_number() windowspecdefinition(")[1:]]
+        assert all(" ASC " in w or " DESC " in w for w in cut), text
+        assert len(df.columns) == 2 and sorted(map(tuple, df.collect())) == found, text
+
+
 def test_set_returning_functions(spark):
     df = spark.createDataFrame([(1, '[{"a": 1, "b": "x"}, {"a": 2}]', '{"k": 1, "m": null}', "p,q")], "id int, doc string, obj string, t string")
     assert [r.value for r in R.json_array_elements(df, "doc").collect()] == ['{"a": 1, "b": "x"}', '{"a": 2}']

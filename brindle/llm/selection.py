@@ -19,7 +19,7 @@ import pyarrow.parquet as pq
 from brindle.llm import quality, toxicity
 from brindle.llm.common import FOLDS, HELD_OUT
 
-TOXICITY = [toxicity.Settings(most_z=z, first_z=9.0, drift=d, prior=p) for z, d, p in itertools.product((3.0, 3.5, 4.0, 4.5, 5.0), (-0.003, -0.01, -0.03, -0.1), (1.0, 2.0))] + [toxicity.Settings()]
+TOXICITY = [toxicity.Settings(most_z=z, first_z=9.0, drift=d, prior=p) for z, d, p in itertools.product((3.0, 3.5, 4.0, 4.5, 5.0), (-0.003, -0.01, -0.03, -0.1), (1.0, 2.0))] + [toxicity.Settings(least_odds=o) for o in (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0)]
 QUALITY = [quality.Settings(penalty=p, least_share=s, most_share=m) for p, s, m in itertools.product((1e-4, 1e-3, 1e-2), (0.01, 0.03), (0.02, 0.1))]
 
 

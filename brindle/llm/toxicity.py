@@ -57,6 +57,7 @@ class Settings:
     most_z: float = 4.5  # features need this z-score, or less if there are few toxic texts to reach it with
     first_z: float = 2.2  # what they need if one text is toxic, and how much more for e times as many
     z_step: float = 0.46
+    least_odds: float = 1.0  # log-odds that a feature needs besides: over many texts, common words get significant as toxic texts are longer
     drift: float = -0.01  # what a word without evidence scores
     power: float = 0.5  # the rarer class weighs as the ratio of the classes to this power
 
@@ -156,7 +157,7 @@ def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, other: int, set
         a1, a0 = y1 + prior * share, y0 + prior * (1 - share)
         delta = math.log(a1 / (toxic + prior - a1)) - math.log(a0 / (other + prior - a0))
         z = delta / math.sqrt(1 / a1 + 1 / a0)
-        if z >= least_z:
+        if z >= least_z and delta >= settings.least_odds:
             odds[f], zs[f] = delta, z
     return odds, zs
 

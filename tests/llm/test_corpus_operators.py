@@ -423,6 +423,29 @@ def test_toxicity(spark):
     assert (again.odds, again.slope) == (model.odds, model.slope)
 
 
+def test_toxicity_over_many_texts():
+    """Toxic texts are longer here, so each common word is significant; none of them may count as evidence."""
+    rng = np.random.default_rng(1)
+    y = rng.random(6000) < 0.1
+    words = [rng.integers(0, 150, rng.integers(50, 600) + 60 * toxic).tolist() for toxic in y]
+    texts = [[b"w%03d" % w for w in found] for found in words]
+    for text, toxic in zip(texts, y, strict=True):
+        if toxic:
+            text[len(text) // 2 : len(text) // 2 + 2] = [b"idiot", b"moron"]
+    counts = {}
+    for text, toxic in zip(texts, y, strict=True):
+        for f in {f for w in set(text) for f in toxicity.features_of(w)}:
+            counts.setdefault(f, [0, 0])[int(toxic)] += 1
+    odds, zs = toxicity.log_odds(((f, c[1], c[0]) for f, c in counts.items()), int(y.sum()), int((~y).sum()))
+    memory = toxicity.Memory(toxicity.Model(odds, zs, 1.0, 0.0, 1.0, 0.0))
+    found = [toxicity.scored(text, memory) for text in texts]
+    n = np.array([len(text) for text in texts])
+    model = toxicity.calibrate(odds, zs, np.array([max((s for _, _, s in f), default=0.0) for f in found]), n, y)
+    said = np.array([model.probability(f, k) >= toxicity.THRESHOLD for f, k in zip(found, n, strict=True)])
+    assert not any(f.startswith("w") for f in odds)
+    assert said[y].mean() > 0.99 and said[~y].mean() < 0.01
+
+
 def test_ordinal_regression_orders_grades(spark):
     rng = random.Random(2)
     rows, marks = [], []
